@@ -97,7 +97,7 @@ def derived_totals(df: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_audit(df: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
+def totals_by_type(df: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
     """Per type: rows, rows inside the date range (without one, all dated rows), derived
     totals and date range, in one pass."""
     day = F.col("order_date")

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom import fixed
+from tallyloom.operators.derive import add_derived
 from tallyloom.schema import MONEY, SEQ
 
 ORDER_COLUMNS = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "quantity", "amount"]
@@ -79,6 +80,13 @@ def typed_sales(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales rows with their derived columns."""
+    return add_derived(
+        typed_sales(spark, folder), F.col("revenue_in_inr"), F.col("shipping_amount"), F.col("quantity")
+    )
+
+
 def raw_sales(spark: SparkSession, folder: str, with_copies: bool = False) -> DataFrame:
     """The sales rows as an upload would spell them: all text, with blanks and noise.
 
@@ -113,3 +121,69 @@ def raw_sales(spark: SparkSession, folder: str, with_copies: bool = False) -> Da
         times = F.when(F.col(f"{SEQ}.l_partkey") % 50 == 0, 2).otherwise(1)
         raw = raw.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("copy")
     return raw
+
+
+# The mapping of the columns of ``raw_sales``.
+RAW_MAPPING = {
+    "order_date": "Invoice Date",
+    "order_id": "Order Id",
+    "sku": "Sku",
+    "asin": "Asin",
+    "product_name": "Item Description",
+    "quantity": "Quantity",
+    "revenue_amount": "Invoice Amount",
+    "shipping_amount": "Shipping Amount",
+    "transaction_type": "Transaction Type",
+    "shipment_item_id": None,
+    "region": "Ship To City",
+    "status": None,
+}
+
+# The mapping of the columns of ``facts``.
+FACTS_MAPPING = {
+    "order_date": "order_date",
+    "order_id": "order_id",
+    "sku": "sku",
+    "asin": "asin",
+    "product_name": "product_name",
+    "quantity": "quantity",
+    "revenue_amount": "revenue_in_inr",
+    "shipping_amount": "shipping_amount",
+    "transaction_type": "transaction_type",
+    "shipment_item_id": None,
+    "region": "region",
+    "status": "status",
+}
+
+
+def wide_upload(spark: SparkSession, folder: str) -> DataFrame:
+    """``raw_sales`` with further columns whose headers compete for the same fields."""
+    key = F.col(f"{SEQ}.l_partkey").cast("string")
+    supplier = F.col(f"{SEQ}.l_suppkey").cast("string")
+    shipped = F.date_format(f"{SEQ}.l_shipdate", "yyyy-MM-dd")
+    raw = raw_sales(spark, folder)
+    return raw.select(
+        "Order Id",
+        supplier.alias("Shipment Id"),
+        F.concat(F.lit("shipped "), shipped).alias("Shipment Date"),
+        shipped.alias("Order Date"),
+        *[name for name in raw.columns if name not in ("Order Id", SEQ)],
+        key.alias("Shipment Item Id"),
+        key.alias("Product Tax Code"),
+        F.lit("12.5").alias("Tax Amount"),
+        F.col("Ship To City").alias("Bill From City"),
+        SEQ,
+    )
+
+
+def questions(spark: SparkSession, folder: str, texts: list[str]) -> DataFrame:
+    """The user turns of the conversations, and one of the given texts per customer."""
+    turns = table(spark, folder, "conversations").where(F.col("role") == "user")
+    asked = F.element_at(F.array(*map(F.lit, texts)), (F.col("c_custkey") % len(texts) + 1).cast("int"))
+    return turns.select(
+        F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("question_id"), "text"
+    ).unionByName(
+        table(spark, folder, "customer").select(
+            F.concat_ws("-", F.lit("customer"), "c_custkey").alias("question_id"), asked.alias("text")
+        )
+    )
