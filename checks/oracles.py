@@ -107,8 +107,7 @@ STORED = f"""{FACTS}, stored AS (
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY normalized_order_id, normalized_sku, normalized_order_date
                                ORDER BY {ROW_ORDER_DESC}) AS from_last,
-         row_number() OVER (PARTITION BY order_id, sku, order_date ORDER BY {ROW_ORDER}) AS from_first,
-         count(*) OVER (PARTITION BY normalized_order_id, normalized_sku, normalized_order_date) AS copies
+         row_number() OVER (PARTITION BY order_id, sku, order_date ORDER BY {ROW_ORDER}) AS from_first
   FROM stored
 )"""
 
@@ -528,7 +527,7 @@ SELECT CAST(order_date AS VARCHAR) AS order_date, order_id, sku, asin, product_n
         "first_by_key_subset": f"""WITH {STRICT}
 SELECT CAST(order_date AS VARCHAR) AS order_date, order_id, sku, trim(asin) AS asin, product_name,
        CAST(quantity AS BIGINT) AS quantity, CAST(money AS DOUBLE) AS revenue_amount,
-       CAST(shipping_amount AS DOUBLE) AS shipping_amount, transaction_type, region, missing_quantity_flag, copies
+       CAST(shipping_amount AS DOUBLE) AS shipping_amount, transaction_type, region, missing_quantity_flag
 FROM firsts""",
         "cleaning_report": f"""WITH {CLEANED}
 SELECT CAST(sum(copies) AS BIGINT) AS total_rows_read, count(*) AS rows_kept,
@@ -559,7 +558,7 @@ FROM first WHERE money = 0 OR quantity = 0""",
 SELECT (SELECT count(*) FROM valid) AS valid_rows,
        (SELECT count(*) FROM canonical) - (SELECT count(*) FROM valid) AS invalid_rows""",
         "upsert_last_wins": f"""WITH {STORED}
-SELECT {SHOWN}, month_tag, {_title("region")} AS region, status, copies FROM ranked WHERE from_last = 1""",
+SELECT {SHOWN}, month_tag, {_title("region")} AS region, status FROM ranked WHERE from_last = 1""",
         "upsert_into_stored": f"WITH {STORED} SELECT {SHOWN} FROM ranked WHERE from_last = 1",
         "replace_then_append": f"WITH {STORED} SELECT {SHOWN}, month_tag FROM ranked WHERE from_last = 1",
         "append_if_absent": f"WITH {STORED} SELECT {SHOWN} FROM ranked WHERE from_first = 1",
@@ -607,10 +606,10 @@ SELECT count(*) AS rows, count(*) AS keys, count(DISTINCT normalized_order_id) A
         "registry_roundtrip": f"""WITH {CANONICAL}, uploads(filename, upload_date) AS (
   VALUES ('second.csv', '2024-01-02 00:00:00'), ('first.csv', '2024-01-01 00:00:00')
 )
-SELECT filename, upload_date, count(*) AS row_count, min(order_date) AS date_range_start,
+SELECT filename, uploads.upload_date, count(*) AS row_count, min(order_date) AS date_range_start,
        max(order_date) AS date_range_end, 'Invoice Amount' AS revenue_header, 'active' AS status,
        CAST(32 AS BIGINT) AS hash_length
-FROM valid, uploads GROUP BY filename, upload_date""",
+FROM valid, uploads GROUP BY filename, uploads.upload_date""",
         "table_lifecycle": f"""WITH {STORED}, first AS (
   SELECT DISTINCT normalized_order_id, normalized_sku, normalized_order_date, month_tag FROM stored
   WHERE l_linenumber <= 4

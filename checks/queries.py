@@ -354,7 +354,7 @@ def valid_key_counts(spark, folder):
 
 def upsert_last_wins(spark, folder):
     rows = upsert.last_wins(stored(spark, folder))
-    return plain(rows.select(*SHOWN, "month_tag", "region", "status", COPIES))
+    return plain(rows.select(*SHOWN, "month_tag", "region", "status"))
 
 
 def upsert_into_stored(spark, folder):

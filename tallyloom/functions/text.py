@@ -14,6 +14,10 @@ WHITESPACE = "".join(
     )
 )
 
+CASED = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
+# Not a letter, and not found in text.
+MARK = "\x01"
+
 
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
@@ -24,15 +28,13 @@ def blank_to_null(col: Column) -> Column:
 
 
 def title_case(col: Column) -> Column:
-    """Capitalize every run of letters, so ``new-delhi`` becomes ``New-Delhi``."""
-    runs = F.regexp_extract_all(F.lower(col), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.array_join(
-        F.transform(
-            runs,
-            lambda run: F.concat(F.upper(F.substring(run, 1, 1)), run.substr(F.lit(2), F.length(run))),
-        ),
-        "",
-    )
+    """Capitalize every run of letters, so ``new-delhi`` becomes ``New-Delhi``.
+
+    Letters are those with a case. ``initcap`` starts words at spaces only; a marked space
+    goes in before it wherever another character is followed by a letter, and out after it.
+    """
+    marked = F.regexp_replace(F.lower(col), f"([^{CASED} ])(?=[{CASED}])", f"$1{MARK} ")
+    return F.replace(F.initcap(marked), F.lit(MARK + " "), F.lit(""))
 
 
 def normalize_header(col: Column) -> Column:

@@ -4,9 +4,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom import fixed
-from tallyloom.functions.text import WHITESPACE, strip, title_case
+from tallyloom.functions.text import WHITESPACE, blank_to_null, strip, title_case
 from tallyloom.schema import MONEY
 
+ISO_FORMAT = "yyyy-M-d"
 CURRENCY_NOISE = "₹$," + WHITESPACE
 
 
@@ -16,7 +17,7 @@ def money(col: Column) -> Column:
     Text is cast to decimal directly: that accepts ``1e3`` and ``.5`` but none of the
     type suffixes (``5D``) and special names that a cast to double would let through.
     """
-    return F.translate(col.cast("string"), CURRENCY_NOISE, "").try_cast(MONEY)
+    return F.nullif(F.translate(col.cast("string"), CURRENCY_NOISE, ""), F.lit("")).try_cast(MONEY)
 
 
 def money_or_zero(col: Column) -> Column:
@@ -25,20 +26,29 @@ def money_or_zero(col: Column) -> Column:
 
 def number(col: Column) -> Column:
     """Plain number, no currency noise removed; null when it is not one."""
-    return strip(col.cast("string")).try_cast("decimal(38,18)")
+    return blank_to_null(col.cast("string")).try_cast("decimal(38,18)")
 
 
 def quantity(col: Column) -> Column:
     """Whole units, truncated toward zero; missing or unusable values count as 0."""
-    return F.coalesce(number(col).try_cast("int"), F.lit(0))
+    return F.coalesce(_plain_int(col), number(col).try_cast("int"), F.lit(0))
 
 
 def missing_quantity(col: Column) -> Column:
-    return number(col).isNull()
+    return _plain_int(col).isNull() & number(col).isNull()
+
+
+def _plain_int(col: Column) -> Column:
+    """The common case, far cheaper to parse than a decimal."""
+    return strip(col.cast("string")).try_cast("int")
 
 
 def parse_date(col: Column, date_format: str) -> Column:
-    return F.try_to_date(strip(col), date_format)
+    """Date in the given format, null for other text."""
+    text = strip(col)
+    if date_format == ISO_FORMAT:  # the cast is faster than a formatter, but takes more forms
+        return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date"))
+    return F.try_to_date(text, date_format)
 
 
 def transaction_type(col: Column) -> Column:

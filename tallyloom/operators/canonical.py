@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom import fixed
 from tallyloom.functions import values
@@ -39,16 +40,28 @@ def to_canonical(
         column = source(field)
         return F.lit(default) if column is None else values.placeholder(column, default, extra)
 
+    def is_text(field: str) -> bool:
+        return isinstance(cleaned.schema[mapping[field]].dataType, T.StringType)
+
     def amount(field: str) -> Column:
         column = source(field)
-        return zero if column is None else values.money_or_zero(column)
+        if column is None:
+            return zero
+        return values.money_or_zero(column) if is_text(field) else F.coalesce(column.cast(MONEY), zero)
 
     date = source("order_date")
     if date is None:
         date = F.lit(None).cast("date")
     elif date_format:
         date = values.parse_date(date, date_format)
-    quantity, region = source("quantity"), source("region")
+    quantity, missing_quantity = source("quantity"), F.lit(False)
+    if quantity is None:
+        quantity = F.lit(0)
+    elif is_text("quantity"):
+        quantity, missing_quantity = values.quantity(quantity), values.missing_quantity(quantity)
+    else:
+        quantity, missing_quantity = F.coalesce(quantity, F.lit(0)), quantity.isNull()
+    region = source("region")
     kind = F.col("transaction_type") if "transaction_type" in cleaned.columns else text("transaction_type")
     order_id, sku = text("order_id"), filled("sku", fixed.UNKNOWN_SKU)
     columns = {
@@ -57,8 +70,8 @@ def to_canonical(
         "sku": sku,
         "asin": filled("asin", fixed.UNKNOWN_ASIN),
         "product_name": filled("product_name", fixed.UNKNOWN_PRODUCT, "None"),
-        "quantity": F.lit(0) if quantity is None else values.quantity(quantity),
-        "missing_quantity_flag": F.lit(False) if quantity is None else values.missing_quantity(quantity),
+        "quantity": quantity,
+        "missing_quantity_flag": missing_quantity,
         "revenue_in_inr": amount("revenue_amount"),
         "shipping_amount": amount("shipping_amount"),
         "transaction_type": kind,

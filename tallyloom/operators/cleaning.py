@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom import fixed
 from tallyloom.functions import values
 from tallyloom.functions.text import strip
-from tallyloom.operators.dedup import distinct_rows, first_by_subset
+from tallyloom.operators.dedup import MIN_SUBSET, distinct_rows, first_by_subset
 from tallyloom.operators.derive import add_derived
 from tallyloom.schema import COPIES, SEQ
 
@@ -40,20 +40,18 @@ def clean_cells(df: DataFrame, mapping: Mapping, date_format: str, strict: bool
     upper = ("order_id", "sku") if strict else ("order_id", "sku", "asin")
 
     def cleaned(name: str) -> Column:
-        field, text = field_of.get(name), strip(_col(name))
-        if field in upper:
-            return F.upper(text)
+        field, column = field_of.get(name), _col(name)
         if field == "order_date":
-            return values.parse_date(text, date_format)
+            return values.parse_date(column, date_format)
         if field == "revenue_amount" and not strict:
-            return values.money(text)
+            return values.money(column)
         if field in ("revenue_amount", "shipping_amount"):
-            return values.money_or_zero(text)
+            return values.money_or_zero(column)
         if field == "transaction_type":
-            return values.transaction_type(text)
+            return values.transaction_type(column)
         if field == "quantity":
-            return values.quantity(text)
-        return text
+            return values.quantity(column)
+        return F.upper(strip(column)) if field in upper else strip(column)
 
     columns = [cleaned(name).alias(name) for name in df.columns if name != SEQ]
     kind, quantity = mapping.get("transaction_type"), mapping.get("quantity")
@@ -120,7 +118,6 @@ def strict_clean(df: DataFrame, mapping: Mapping, date_format: str) -> DataFrame
 def strict_report(df: DataFrame, mapping: Mapping, date_format: str) -> DataFrame:
     """One row of counts over the stricter cleaning: before dropping, and after it."""
     cells = clean_cells(df, mapping, date_format, strict=True)
-    kept = strict_clean(df, mapping, date_format)
     keys = {field: _col(mapping[field]) for field in KEY_FIELDS if mapping.get(field)}
     lacks_key = reduce(or_, [key.isNull() for key in keys.values()], F.lit(False))
     amount, kind = mapping.get("revenue_amount"), F.col("transaction_type")
@@ -132,14 +129,20 @@ def strict_report(df: DataFrame, mapping: Mapping, date_format: str) -> DataFram
     }
     if mapping.get("quantity"):
         before["missing_quantities"] = F.count_if("missing_quantity_flag")
+    # Amount and type belong to the subset, so its groups tell all there is to count.
     after = {
         "rows_kept": F.count("*"),
         "duplicates_found": F.sum(F.col(COPIES) - 1),
         "negative_amounts": F.count_if(negative),
         "negative_refunds": F.count_if(negative & (kind == fixed.REFUND)),
     }
+    complete, subset = drop_empty(drop_without_keys(cells, mapping)), mapped(mapping, SUBSET_FIELDS)
+    if len(subset) < MIN_SUBSET:
+        groups = complete.withColumn(COPIES, F.lit(1))
+    else:
+        groups = complete.groupBy(*map(_col, dict.fromkeys([*subset, "transaction_type"]))).agg(F.count("*").alias(COPIES))
     parts = cells.agg(*[column.alias(name) for name, column in before.items()]).unionByName(
-        kept.agg(*[column.alias(name) for name, column in after.items()]), allowMissingColumns=True
+        groups.agg(*[column.alias(name) for name, column in after.items()]), allowMissingColumns=True
     )
     return parts.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in parts.columns])
 

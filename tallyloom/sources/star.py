@@ -26,12 +26,22 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
         .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     )
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        "l_linenumber",
+        "l_shipdate",
+        "l_returnflag",
+        "l_linestatus",
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_extendedprice").cast("decimal(12,2)").alias("price"),
+        F.col("l_tax").cast("decimal(4,2)").alias("tax"),
+    )
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     negative = (flag == "R") & (F.col("l_linenumber") % 2 == 1)
     return (
-        table(spark, folder, "lineitem")
-        .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("o_orderdate").cast("date").alias("order_date"),
@@ -39,9 +49,9 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
             F.col("p_brand").alias("sku"),
             F.col("p_type").alias("asin"),
             F.col("p_name").alias("product_name"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            F.when(negative, -price).otherwise(price).alias("amount"),
-            (price * F.col("l_tax").cast("decimal(4,2)")).alias("shipping_amount"),
+            "quantity",
+            F.when(negative, -F.col("price")).otherwise(F.col("price")).alias("amount"),
+            (F.col("price") * F.col("tax")).alias("shipping_amount"),
             F.when(flag == "N", fixed.SHIPMENT)
             .when(flag == "R", fixed.REFUND)
             .when(status == "F", fixed.FREE_REPLACEMENT)
