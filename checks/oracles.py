@@ -274,50 +274,66 @@ _header_rows = ", ".join(f"({i}, '{h}')" for i, (h, _) in enumerate(WIDE))
 _synonym_rows = ", ".join(
     f"({i}, '{field}', '{word}')" for i, (field, words) in enumerate(fixed.SYNONYMS.items()) for word in words
 )
-MATCHED = f"""headers(pos, header) AS (VALUES {_header_rows}),
-synonyms(field_ord, field, word) AS (VALUES {_synonym_rows}),
+
+
+def _spelled(name: str, supplier: str) -> str:
+    return f"""CASE {supplier} % 3 WHEN 0 THEN upper({name}) WHEN 1 THEN concat('  ', replace({name}, ' ', '   '))
+      ELSE {name} END"""
+
+
+MATCHED = f"""names(pos, name) AS (VALUES {_header_rows}), headers AS (
+  SELECT CAST(s_suppkey AS VARCHAR) AS upload, pos, {_spelled("name", "s_suppkey")} AS header,
+         lower(name) AS norm FROM supplier, names WHERE pos <> s_suppkey % {len(WIDE)}
+), synonyms(field_ord, field, word) AS (VALUES {_synonym_rows}),
 matched AS (
-  SELECT field_ord, field, pos, header, lower(header) AS norm, bool_or(lower(header) = word) AS exact
-  FROM headers JOIN synonyms ON contains(lower(header), word) OR contains(word, lower(header))
+  SELECT upload, field_ord, field, pos, header, norm, bool_or(norm = word) AS exact
+  FROM headers JOIN synonyms ON contains(norm, word) OR contains(word, norm)
   GROUP BY ALL
 )"""
 _unpivoted = " UNION ALL ".join(
-    f"SELECT '{h}' AS header, {e} AS value, order_id, {RAW_ORDER} FROM raw" for h, e in WIDE
+    f"SELECT {i} AS pos, '{h}' AS name, {e} AS value, order_id, {RAW_ORDER} FROM raw" for i, (h, e) in enumerate(WIDE)
 )
+# Dates, quantities and amounts are told apart by their values when several headers match.
 PROFILE = f"""{RAW}, {MATCHED}, typed AS (
-  SELECT DISTINCT header FROM matched
-  WHERE field IN (SELECT field FROM matched WHERE field IN ('order_date', 'quantity', 'revenue_amount')
-                  GROUP BY field HAVING count(*) > 1)
-), cells AS ({_unpivoted}), sampled AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY header ORDER BY {RAW_ORDER}, order_id NULLS FIRST) AS place
-                 FROM cells SEMI JOIN typed USING (header) WHERE value IS NOT NULL) WHERE place <= 200
+  SELECT DISTINCT name FROM names WHERE pos IN (
+    SELECT n.pos FROM names n JOIN synonyms s ON contains(lower(n.name), s.word) OR contains(s.word, lower(n.name))
+    WHERE s.field IN ('order_date', 'quantity', 'revenue_amount') AND s.field IN (
+      SELECT field FROM names JOIN synonyms ON contains(lower(name), word) OR contains(word, lower(name))
+      GROUP BY field HAVING count(DISTINCT pos) > 1))
+), cells AS ({_unpivoted}), spelled AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS upload, {_spelled("name", "l_suppkey")} AS header, *
+  FROM cells WHERE name IN (SELECT name FROM typed) AND pos <> l_suppkey % {len(WIDE)} AND value IS NOT NULL
+), sampled AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY upload, header
+                   ORDER BY {RAW_ORDER}, order_id NULLS FIRST) AS place FROM spelled) WHERE place <= 200
 ), profiled AS (
-  SELECT header, count(*) AS sampled, avg(CAST({_date("value")} IS NOT NULL AS INT)) AS date_ratio,
+  SELECT upload, header, count(*) AS sampled, avg(CAST({_date("value")} IS NOT NULL AS INT)) AS date_ratio,
          avg(CAST({_money("value")} IS NOT NULL AS INT)) AS numeric_ratio,
          avg(CAST(TRY_CAST(trim(value) AS DOUBLE) IS NOT NULL AS INT)) AS integer_ratio
-  FROM sampled GROUP BY header
+  FROM sampled GROUP BY upload, header
 )"""
 
 
 def _mapped() -> str:
-    return f"""WITH RECURSIVE {PROFILE}, fields AS (SELECT DISTINCT field_ord, field FROM synonyms), options AS (
+    return f"""WITH RECURSIVE {PROFILE}, fields AS (SELECT DISTINCT field_ord, field FROM synonyms),
+options AS MATERIALIZED (
   SELECT m.*, coalesce(date_ratio >= 0.7, false) AS is_date, coalesce(numeric_ratio >= 0.7, false) AS is_numeric,
          coalesce(integer_ratio >= 0.7, false) AS is_integer, contains(norm, 'invoice') AS is_invoice
-  FROM matched m LEFT JOIN profiled USING (header)
+  FROM matched m LEFT JOIN profiled USING (upload, header)
 ), picks AS (
-  SELECT -1 AS field_ord, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS header
+  SELECT DISTINCT upload, -1 AS field_ord, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS header FROM headers
   UNION ALL
-  SELECT field_ord, list_append(taken, coalesce(header, '')), header FROM (
-    SELECT p.field_ord + 1 AS field_ord, any_value(p.taken) AS taken,
+  SELECT upload, field_ord, list_append(taken, coalesce(header, '')), header FROM (
+    SELECT p.upload, p.field_ord + 1 AS field_ord, any_value(p.taken) AS taken,
       CASE WHEN count(o.header) = 1 THEN min(o.header)
            WHEN p.field_ord + 1 = 0 THEN arg_min(o.header, o.pos) FILTER (o.is_date)
            WHEN p.field_ord + 1 = 5 THEN arg_min(o.header, o.pos) FILTER (o.is_integer)
            WHEN p.field_ord + 1 = 6 THEN coalesce(arg_min(o.header, o.pos) FILTER (o.is_invoice AND o.is_numeric),
                                                   arg_min(o.header, o.pos) FILTER (o.is_numeric)) END AS header
     FROM picks p LEFT JOIN options o
-      ON o.field_ord = p.field_ord + 1 AND NOT list_contains(p.taken, o.header)
-    WHERE p.field_ord < 11 GROUP BY p.field_ord)
-), mapped AS (SELECT field, header FROM picks JOIN fields USING (field_ord))"""
+      ON o.upload = p.upload AND o.field_ord = p.field_ord + 1 AND NOT list_contains(p.taken, o.header)
+    WHERE p.field_ord < 11 GROUP BY p.upload, p.field_ord)
+), mapped AS (SELECT upload, field, header FROM picks JOIN fields USING (field_ord))"""
 
 
 _question_list = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in QUESTIONS) + "]"
@@ -654,24 +670,26 @@ SELECT CAST(sum(revenue_calc) AS DOUBLE) AS revenue_calc, CAST(sum(shipping_loss
   SELECT *, row_number() OVER (PARTITION BY transaction_type ORDER BY {ROW_ORDER}, order_id) AS place FROM facts
 ) SELECT {SHOWN} FROM placed WHERE place = 1""",
         "profile_sample": f"""WITH {PROFILE}
-SELECT header, sampled, round(date_ratio, 4) AS date_ratio,
+SELECT upload, header, sampled, round(date_ratio, 4) AS date_ratio,
        CASE WHEN date_ratio > 0 THEN 'yyyy-M-d' END AS date_format, round(numeric_ratio, 4) AS numeric_ratio,
        round(integer_ratio, 4) AS integer_ratio, date_ratio >= 0.7 AS is_date, numeric_ratio >= 0.7 AS is_numeric,
        integer_ratio >= 0.7 AS is_integer FROM profiled""",
         "header_mapping": f"{_mapped()} SELECT * FROM mapped",
         "ambiguous_fields": f"""{_mapped()}
-SELECT DISTINCT field FROM mapped JOIN matched USING (field) WHERE mapped.header IS NULL AND exact""",
-        "header_candidates": f"WITH {MATCHED} SELECT field, header FROM matched",
+SELECT DISTINCT upload, field FROM mapped JOIN matched USING (upload, field)
+WHERE mapped.header IS NULL AND exact""",
+        "header_candidates": f"WITH {MATCHED} SELECT upload, field, CAST(pos AS BIGINT) AS pos, header FROM matched",
         "header_signature": f"""WITH {MATCHED}
-SELECT sha1(string_agg(header, '|' ORDER BY header)) AS signature, count(*) AS headers FROM headers""",
+SELECT upload, sha1(string_agg(header, '|' ORDER BY header)) AS signature, count(*) AS headers
+FROM headers GROUP BY upload""",
         "mapping_registry": f"""WITH {MATCHED}, signed AS (
-  SELECT sha1(string_agg(header, '|' ORDER BY header)) AS signature FROM headers
+  SELECT upload, sha1(string_agg(header, '|' ORDER BY header)) AS signature FROM headers GROUP BY upload
 ), chosen(field, header) AS (VALUES ('order_date', 'Invoice Date'), ('order_id', 'Order Id'), ('sku', NULL),
   ('asin', 'Asin'), ('product_name', 'Item Description'), ('quantity', 'Quantity'),
   ('revenue_amount', 'Invoice Amount'), ('shipping_amount', 'Shipping Amount'),
   ('transaction_type', 'Transaction Type'), ('shipment_item_id', NULL), ('region', 'Ship To City'),
   ('status', 'Shipment Id'))
-SELECT signature, field, header FROM signed, chosen""",
+SELECT upload, signature, field, header FROM signed, chosen""",
         "question_intents": f"""WITH {ROUTED} SELECT question_id, class, intent, CAST(k AS BIGINT) AS k FROM routed""",
         "question_answers": _answers(),
     }

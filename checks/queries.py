@@ -571,51 +571,45 @@ def sample_rows(spark, folder):
 # --- header mapping ----------------------------------------------------------
 
 
-def _profiled(spark, folder):
-    upload = star.wide_upload(spark, folder)
-    wanted = mapping.columns_to_profile(uploads.upload_headers(upload))
-    # Rows that tie on seq are told apart by their cells, as every sample must be repeatable.
-    ordered = upload.withColumn(SEQ, F.struct(SEQ, F.col("Order Id")))
-    return upload, mapping.profile(mapping.cells(ordered, wanted))
+def _profiles(spark, folder):
+    return mapping.profile(star.supplier_cells(spark, folder, mapping.columns_to_profile(star.WIDE_HEADERS)))
+
+
+def _mapped(spark, folder):
+    headers = star.supplier_headers(spark, folder)
+    return headers, mapping.auto_map(headers, stage(_profiles(spark, folder), "profiles"))
 
 
 def profile_sample(spark, folder):
-    return plain(_profiled(spark, folder)[1].drop("upload"))
+    return plain(_profiles(spark, folder))
 
 
 def header_mapping(spark, folder):
-    upload, profiles = _profiled(spark, folder)
-    mapped = mapping.auto_map(mapping.headers_of(upload), stage(profiles, "profiles"))
-    return mapped.select(F.explode("mappings").alias("field", "header"))
+    return _mapped(spark, folder)[1].select("upload", F.explode("mappings").alias("field", "header"))
 
 
 def ambiguous_fields(spark, folder):
-    upload, profiles = _profiled(spark, folder)
-    headers = mapping.headers_of(upload)
-    return mapping.ambiguous_fields(headers, mapping.auto_map(headers, stage(profiles, "profiles"))).select("field")
+    return mapping.ambiguous_fields(*_mapped(spark, folder))
 
 
 def header_candidates(spark, folder):
-    headers = mapping.headers_of(star.wide_upload(spark, folder))
-    return mapping.candidates_of(headers).select("field", "header")
+    return plain(mapping.candidates_of(star.supplier_headers(spark, folder)))
 
 
 def header_signature(spark, folder):
-    headers = mapping.headers_of(star.wide_upload(spark, folder))
-    return plain(mapping.signatures(headers).select("signature", F.size("headers").alias("headers")))
+    signed = mapping.signatures(star.supplier_headers(spark, folder))
+    return plain(signed.select("upload", "signature", F.size("headers").alias("headers")))
 
 
 def mapping_registry(spark, folder):
-    """Saved twice under one signature, the later mapping is found again, as JSON and back."""
-    upload = star.wide_upload(spark, folder)
-    headers, store = mapping.headers_of(upload), new_store(spark)
+    """Saved twice under each signature, the later mapping is found again, as JSON and back."""
+    headers, store = star.supplier_headers(spark, folder), new_store(spark)
     store.save_mapping(headers, RAW, datetime(2024, 1, 1))
     store.save_mapping(headers, mapping.apply_overrides(RAW, {"sku": None, "status": "Shipment Id"}), UPLOADED)
     found = mapping.lookup(store.saved_mappings(), headers)
-    text_form = found.select("signature", mapping.mappings_json(F.col("mappings")).alias("json"))
-    return text_form.select(
-        "signature", F.explode(mapping.mappings_from_json(F.col("json"))).alias("field", "header")
-    )
+    as_text = found.select("upload", "signature", mapping.mappings_json(F.col("mappings")).alias("json"))
+    back = mapping.mappings_from_json(F.col("json"))
+    return as_text.select("upload", "signature", F.explode(back).alias("field", "header"))
 
 
 # --- questions ---------------------------------------------------------------

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import fixed
 from tallyloom.operators.derive import add_derived
+from tallyloom.operators.mapping import cells
 from tallyloom.schema import MONEY, SEQ
 
 ORDER_COLUMNS = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "quantity", "amount"]
@@ -186,6 +187,65 @@ def wide_upload(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+WIDE_HEADERS = [
+    "Order Id",
+    "Shipment Id",
+    "Shipment Date",
+    "Order Date",
+    "Invoice Date",
+    "Sku",
+    "Asin",
+    "Item Description",
+    "Quantity",
+    "Invoice Amount",
+    "Shipping Amount",
+    "Transaction Type",
+    "Ship To City",
+    "Shipment Item Id",
+    "Product Tax Code",
+    "Tax Amount",
+    "Bill From City",
+]
+
+
+def _lacking(supplier: Column) -> Column:
+    """The header a supplier's upload does without."""
+    names = F.array(*map(F.lit, WIDE_HEADERS))
+    return F.element_at(names, (supplier % len(WIDE_HEADERS) + 1).cast("int"))
+
+
+def _spelled(header: Column, supplier: Column) -> Column:
+    """A header in the supplier's spelling: upper case, spaced out, or as it is."""
+    return (
+        F.when(supplier % 3 == 0, F.upper(header))
+        .when(supplier % 3 == 1, F.concat(F.lit("  "), F.replace(header, F.lit(" "), F.lit("   "))))
+        .otherwise(header)
+    )
+
+
+def supplier_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """(upload, header, pos): every supplier as an upload with headers of its own."""
+    supplier = F.col("s_suppkey")
+    return (
+        table(spark, folder, "supplier")
+        .select(supplier, F.posexplode(F.array(*map(F.lit, WIDE_HEADERS))).alias("pos", "name"))
+        .where(F.col("name") != _lacking(supplier))
+        .select(supplier.cast("string").alias("upload"), _spelled(F.col("name"), supplier).alias("header"), "pos")
+    )
+
+
+def supplier_cells(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """(upload, header, seq, value): the rows of every supplier's upload, unpivoted."""
+    supplier = F.col(f"{SEQ}.l_suppkey")
+    # Rows may tie on seq across orders; a sample has to be the same every time.
+    ordered = wide_upload(spark, folder).withColumn(SEQ, F.struct(f"{SEQ}.*", F.col("Order Id")))
+    return (
+        cells(ordered, columns, supplier.cast("string"))
+        .where(F.col("header") != _lacking(supplier))
+        .withColumn("header", _spelled(F.col("header"), supplier))
+    )
+
+
 def questions(spark: SparkSession, folder: str, texts: list[str]) -> DataFrame:
     """The user turns of the conversations, and one of the given texts per customer."""
     turns = table(spark, folder, "conversations").where(F.col("role") == "user")
