@@ -32,7 +32,10 @@ def upsert_arrivals(
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        cleaned = clean_upload(batch, mapping, date_format)
+        # The row number is not available in a stream, only within its batches.
+        seq = F.struct("path", "block", F.monotonically_increasing_id().alias("row"))
+        rows = batch.withColumn(SEQ, seq).drop("path", "block")
+        cleaned = clean_upload(rows, mapping, date_format)
         store.upsert(with_valid_keys(to_canonical(cleaned, mapping, source, datetime.now())))
 
     return (
@@ -49,9 +52,6 @@ def _arrivals(spark: SparkSession, folder: str, headers: list[str]) -> DataFrame
     raw = spark.readStream.schema(schema).option("header", True).option("escape", '"').csv(folder)
     return raw.select(
         *[F.col(f"`{h}`") for h in headers],
-        F.struct(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias(SEQ),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
     )
