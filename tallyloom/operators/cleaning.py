@@ -108,11 +108,15 @@ def drop_empty(df: DataFrame) -> DataFrame:
     return df.na.drop("all", subset=[name for name in df.columns if name != SEQ])
 
 
+def complete_rows(cells: DataFrame, mapping: Mapping) -> DataFrame:
+    """Rows with their keys, and with anything at all; having a key implies the latter."""
+    return drop_without_keys(cells, mapping) if mapped(mapping, KEY_FIELDS) else drop_empty(cells)
+
+
 def strict_clean(df: DataFrame, mapping: Mapping, date_format: str) -> DataFrame:
     """Cleaning that needs complete keys and keeps the first row per key subset."""
     cells = clean_cells(df, mapping, date_format, strict=True)
-    complete = drop_empty(drop_without_keys(cells, mapping))
-    return first_by_subset(complete, mapped(mapping, SUBSET_FIELDS))
+    return first_by_subset(complete_rows(cells, mapping), mapped(mapping, SUBSET_FIELDS))
 
 
 def strict_report(df: DataFrame, mapping: Mapping, date_format: str) -> DataFrame:
@@ -136,7 +140,7 @@ def strict_report(df: DataFrame, mapping: Mapping, date_format: str) -> DataFram
         "negative_amounts": F.count_if(negative),
         "negative_refunds": F.count_if(negative & (kind == fixed.REFUND)),
     }
-    complete, subset = drop_empty(drop_without_keys(cells, mapping)), mapped(mapping, SUBSET_FIELDS)
+    complete, subset = complete_rows(cells, mapping), mapped(mapping, SUBSET_FIELDS)
     if len(subset) < MIN_SUBSET:
         groups = complete.withColumn(COPIES, F.lit(1))
     else:
