@@ -52,3 +52,14 @@ def test_no_cross_joins_and_no_python(spark):
 def test_library_has_no_udfs(path):
     source = path.read_text()
     assert not re.search(r"udf|localCheckpoint|crossJoin|toPandas|\.rdd\b(?!\.getNumPartitions)", source)
+
+
+def test_both_join_orders_of_the_sales_view_agree(spark):
+    small = star.sales(spark, FOLDER)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        large = star.sales(spark, FOLDER)
+        assert "RoundRobin" in plan(small) and "RoundRobin" not in plan(large)
+        assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
