@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, token_counts
+from tallyloom.llm import bpe, langid, licenses, token_counts, warc
 from tallyloom.llm.common import table
 
 
@@ -16,17 +16,32 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predictions(table(spark, folder, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_warc": op2_warc,
         "op6_token_counts": op6_token_counts,
+        "op7_licenses": op7_licenses,
+        "op10_language": op10_language,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {"op2_warc": warc.SQL}
