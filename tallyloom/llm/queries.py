@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, langid, licenses, token_counts, warc
+from tallyloom.llm import bpe, divergence, langid, licenses, token_counts, warc
 from tallyloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.judge(table(spark, folder, "documents")).select(*divergence.COLUMNS)
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -37,6 +41,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_warc": op2_warc,
+        "op5_quality": op5_quality,
         "op6_token_counts": op6_token_counts,
         "op7_licenses": op7_licenses,
         "op10_language": op10_language,
@@ -44,4 +49,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op2_warc": warc.SQL}
+    return {"op2_warc": warc.SQL, "op5_quality": divergence.SQL}
