@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, divergence, langid, licenses, token_counts, warc
+from tallyloom.llm import bm25, bpe, divergence, langid, licenses, token_counts, warc
 from tallyloom.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predictions(table(spark, folder, "documents"))
 
@@ -44,6 +48,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op6_token_counts": op6_token_counts,
         "op7_licenses": op7_licenses,
+        "op9_decontamination": op9_decontamination,
         "op10_language": op10_language,
     }
 
