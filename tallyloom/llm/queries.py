@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bm25, bpe, divergence, langid, licenses, token_counts, warc
+from tallyloom.llm import bm25, bpe, divergence, jaccard, langid, licenses, token_counts, warc
 from tallyloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.judge(table(spark, folder, "documents")).select(*divergence.COLUMNS)
 
@@ -45,6 +49,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_warc": op2_warc,
+        "op4_jaccard": op4_jaccard,
         "op5_quality": op5_quality,
         "op6_token_counts": op6_token_counts,
         "op7_licenses": op7_licenses,
