@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bm25, bpe, divergence, jaccard, langid, licenses, token_counts, warc
+from tallyloom.llm import bm25, bpe, divergence, jaccard, langid, licenses, repeats, token_counts, warc
 from tallyloom.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove(table(spark, folder, "documents"), digest=True)
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return bm25.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -53,6 +57,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op6_token_counts": op6_token_counts,
         "op7_licenses": op7_licenses,
+        "op8_repeats": op8_repeats,
         "op9_decontamination": op9_decontamination,
         "op10_language": op10_language,
     }
