@@ -1,3 +1,63 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: stages over documents, each written and read again by the next.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns the columns of
+documents; the last returns token counts and ids.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyloom.llm import bm25, bpe, jaccard, langid, repeats
+from tallyloom.llm.common import table
+from tallyloom.sources.workspace import stage
+
+#: Texts whose n-grams are further from every profile are no text of a known language.
+LEAST_LANGUAGE_SCORE = 0.25
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter or far from every language learned from the labelled rows."""
+    profiles = langid.learn(docs.where(~langid.held_out()))
+    return langid.recognised(docs, profiles, LEAST_LANGUAGE_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates."""
+    return jaccard.one_per_group(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes every byte that a repeat of 100 bytes or more covers; all documents stay."""
+    return repeats.cleaned(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return bm25.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text: ``doc_id, n_tokens, ids_sha256, decoded_sha256, ids``."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE", tokens),
+]
+
+#: Language profiles, near-duplicate groups and BPE are beyond SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, work in STAGES:
+        docs = stage(work(spark, docs, sf_dir), name.replace(" ", "_"))
+    return docs

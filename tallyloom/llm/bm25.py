@@ -193,6 +193,24 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text leaks no item."""
+
+    def cleaner(shared):
+        def run(batches):
+            name, part = shared.value
+            index = cached(("bm25", name), lambda: Index(part))
+            for batch in batches:
+                clean = [not index.found(words) for _, words in W.words_of(batch.column(text))]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for part in _pieces(items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))):
+        docs = docs.mapInArrow(cleaner(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, part))), docs.schema)
+    return docs
+
+
 def _searcher(shared):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())])
 

@@ -135,13 +135,15 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids
     return made.withColumnRenamed("key", key)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode in one task, keeping digests only.
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one task.
 
-    Returns ``key, n_tokens, ids_sha256`` (ids as little-endian unsigned 32-bit) and ``decoded_sha256``.
+    Returns ``key, n_tokens, ids_sha256`` (ids as little-endian unsigned 32-bit) and ``decoded_sha256``, and the
+    ``ids`` themselves if asked for.
     """
     shared = _shared(docs, path, pattern)
-    schema = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    fields = [("key", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches):
         codec = _codec(shared)
@@ -150,12 +152,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
             for batch in batches:
                 for doc, value in rows_of(batch):
                     ids = codec.encode(value or "")
-                    digest = hashlib.sha256(ids.tobytes()).hexdigest()
-                    yield doc, len(ids), digest, hashlib.sha256(codec.decode(ids)).hexdigest()
+                    digests = hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+                    yield (doc, len(ids), *digests, *[ids.astype(np.int32)] * with_ids)
 
-        yield from batches_of(rows(), schema)
+        yield from batches_of(rows(), schema, lambda row: 4 * row[1] * with_ids)
 
     made = docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(
-        run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     )
     return made.withColumnRenamed("key", key)

@@ -132,6 +132,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return rows.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
 
 
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, without the near-duplicates of a row with a smaller key.
+
+    Rows with null or repeated keys are told apart by a number of their own. Texts without a word stay.
+    """
+    ids = docs.agg(F.count("*").alias("rows"), F.count(key).alias("known"), F.count_distinct(key).alias("ids")).first()
+    if ids["rows"] == ids["ids"]:
+        rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("content"), F.struct("*").alias("row"))
+    else:
+        numbered = docs.select(F.monotonically_increasing_id().alias("id"), F.col(text).alias("content"), F.struct("*").alias("row"))
+        rows = stage(numbered, "numbered")
+    found = join(rows, "id", "content")
+    going = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")), "copies")
+    return rows.join(_small(going), "id", "left_anti").select("row.*")
+
+
 def _links(docs: DataFrame, measured: DataFrame, nodes: DataFrame) -> DataFrame:
     visible = measured.where("tokens IS NOT NULL").select("node", F.explode("tokens").alias("token"))
     counts = visible.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")

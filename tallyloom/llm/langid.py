@@ -152,6 +152,20 @@ def predict(docs: DataFrame, profiles: DataFrame, length: int = PROFILE, key: st
     return made.withColumnRenamed("key", key)
 
 
+def recognised(docs: DataFrame, profiles: DataFrame, least: float, length: int = PROFILE, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language with a score of ``least`` or more."""
+    known = [(r["lang"], r["rank"], r["gram"]) for r in profiles.collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        model = Profiles(shared.value, length)
+        for batch in batches:
+            found = (model.predict(value.as_py()) for value in batch.column(text))
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     """Rows kept from learning: crc32 of the id's text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bm25, bpe, divergence, jaccard, langid, licenses, repeats, token_counts, warc
+from tallyloom.llm import blocks, bm25, bpe, divergence, jaccard, langid, licenses, repeats, token_counts, warc
 from tallyloom.llm.common import table
 
 
@@ -20,6 +21,10 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return blocks.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -53,6 +58,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_warc": op2_warc,
+        "op3_main_text": op3_main_text,
         "op4_jaccard": op4_jaccard,
         "op5_quality": op5_quality,
         "op6_token_counts": op6_token_counts,
@@ -60,6 +66,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeats": op8_repeats,
         "op9_decontamination": op9_decontamination,
         "op10_language": op10_language,
+        "pipeline": corpus_pipeline.run,
     }
 
 

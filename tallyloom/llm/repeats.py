@@ -26,8 +26,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from tallyloom.llm import anchors as A
 from tallyloom.llm import words as W
@@ -45,12 +47,14 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, dup, text``: ids with nulls last, and a number that tells rows with equal ids apart."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
+    """``doc, dup, text, row``: ids with nulls last, a number that tells rows with equal ids apart, and the whole row."""
+    rows = docs.select(
+        F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(text, F.lit("")).alias("text"), F.struct("*").alias("row")
+    )
     if rows.groupBy("doc").count().where("count > 1").isEmpty():
-        return rows.select("doc", F.lit(0).cast("long").alias("dup"), "text")
+        return rows.select("doc", F.lit(0).cast("long").alias("dup"), "text", "row")
     order = Window.partitionBy("doc").orderBy("text")
-    return stage(rows.select("doc", (F.row_number().over(order) - 1).cast("long").alias("dup"), "text"), "keyed")
+    return stage(rows.select("doc", (F.row_number().over(order) - 1).cast("long").alias("dup"), "text", "row"), "keyed")
 
 
 def _table(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -243,3 +247,28 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: boo
     last = ("kept_sha256", "string") if digest else ("kept", "binary")
     made = joined.mapInArrow(_digests if digest else _removed, f"doc long, dup long, n_bytes long, n_removed long, n_spans long, {last[0]} {last[1]}")
     return made.select(F.nullif("doc", F.lit(LAST)).alias(key), "n_bytes", "n_removed", "n_spans", last[0])
+
+
+@F.pandas_udf(StringType())
+def _cut(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
+    """Texts without the byte ranges; a character that lost some of its bytes goes."""
+
+    def one(text, low, high):
+        content, parts, at = text.encode(), [], 0
+        for a, b in zip(low, high):
+            parts.append(content[at:a])
+            at = b
+        return b"".join([*parts, content[at:]]).decode("utf-8", "ignore")
+
+    return pd.Series([one(*x) for x in zip(texts, lows, highs)], dtype=object)
+
+
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """All rows and columns, the text without its repeats and ``length`` its code points; null texts stay null."""
+    texts = keyed(docs, key, text)
+    joined = texts.join(_small(repeated_runs(texts)), ["doc", "dup"], "left")
+    runs = F.coalesce("runs", F.array().cast("array<struct<low: long, high: long>>"))
+    left = F.when(F.col(f"row.{text}").isNotNull(), _cut("text", runs["low"], runs["high"]))
+    joined = joined.select(left.alias("left"), "row")
+    changed = {text: F.col("left"), length: F.length("left").cast(docs.schema[length].dataType)}
+    return joined.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
