@@ -75,11 +75,11 @@ def _date(text: str) -> str:
 
 
 def _money(text: str) -> str:
-    return f"TRY_CAST(regexp_replace({text}, '[₹$,\\s]', '', 'g') AS DECIMAL(18,4))"
+    return f"TRY_CAST(regexp_replace({text}, '[₹$,\\s]', '', 'g') AS DECIMAL(24,4))"
 
 
 def _quantity(text: str) -> str:
-    return f"coalesce(CAST(trunc(TRY_CAST(trim({text}) AS DOUBLE)) AS INT), 0)"
+    return f"coalesce(CAST(trunc(TRY_CAST(trim({text}) AS DOUBLE)) AS BIGINT), 0)"
 
 
 def _cells(source: str) -> str:
@@ -178,6 +178,7 @@ MOVERS = f"""{FACTS}, weekly AS (
               WHEN c.revenue > 0 THEN CAST('inf' AS DOUBLE)
               WHEN c.revenue < 0 THEN CAST('-inf' AS DOUBLE) END AS wow_change
   FROM weekly c JOIN weekly p ON c.sku = p.sku
+  AND c.asin IS NOT DISTINCT FROM p.asin
   WHERE c.week = (SELECT max(week) FROM weekly) AND p.week = (SELECT max(week) FROM weekly) - INTERVAL 7 DAY
 ), decliners AS (SELECT * FROM compared WHERE wow_change <= -30 AND quantity_previous >= 10),
 fast_movers AS (SELECT * FROM compared WHERE wow_change >= 30 AND quantity_current >= 10)"""
@@ -303,14 +304,11 @@ PROFILE = f"""{RAW}, {MATCHED}, typed AS (
 ), cells AS ({_unpivoted}), spelled AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS upload, {_spelled("name", "l_suppkey")} AS header, *
   FROM cells WHERE name IN (SELECT name FROM typed) AND pos <> l_suppkey % {len(WIDE)} AND value IS NOT NULL
-), sampled AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY upload, header
-                   ORDER BY {RAW_ORDER}, order_id NULLS FIRST) AS place FROM spelled) WHERE place <= 200
 ), profiled AS (
   SELECT upload, header, count(*) AS sampled, avg(CAST({_date("value")} IS NOT NULL AS INT)) AS date_ratio,
          avg(CAST({_money("value")} IS NOT NULL AS INT)) AS numeric_ratio,
          avg(CAST(TRY_CAST(trim(value) AS DOUBLE) IS NOT NULL AS INT)) AS integer_ratio
-  FROM sampled GROUP BY upload, header
+  FROM spelled GROUP BY upload, header
 )"""
 
 
@@ -562,9 +560,9 @@ SELECT CAST(sum(copies) AS BIGINT) AS total_rows_read, count(*) AS rows_kept,
          count(*) FILTER (money < 0) AS negative_amounts,
          count(*) FILTER (money < 0 AND transaction_type = 'Refund') AS negative_refunds FROM firsts
 ) SELECT * FROM before, after""",
-        "problem_rows": f"""WITH {RAW}, {_cells("raw")}, first AS (
-  SELECT *, coalesce(amount, 0) AS money FROM cells
-  ORDER BY l_partkey, l_suppkey, l_shipdate, l_linenumber, seq_quantity, seq_amount LIMIT 5
+        "problem_rows": f"""WITH {STRICT}, first AS (
+  SELECT * FROM firsts
+  ORDER BY l_partkey, l_suppkey, l_shipdate, l_linenumber, seq_quantity, seq_amount, order_id LIMIT 100
 )
 SELECT concat_ws(',', CASE WHEN money = 0 THEN 'Zero revenue' END, CASE WHEN quantity = 0 THEN 'Zero quantity' END)
          AS issues, order_id, sku, CAST(money AS DOUBLE) AS revenue_amount
@@ -579,19 +577,19 @@ SELECT {SHOWN}, month_tag, {_title("region")} AS region, status FROM ranked WHER
         "replace_then_append": f"WITH {STORED} SELECT {SHOWN}, month_tag FROM ranked WHERE from_last = 1",
         "append_if_absent": f"WITH {STORED} SELECT {SHOWN} FROM ranked WHERE from_first = 1",
         "append_counts": f"""WITH {SALES}, batch AS (
-  SELECT order_id, sku, order_date, count(*) AS n FROM sales WHERE l_linenumber >= 3 GROUP BY ALL
+  SELECT order_id, sku, order_date, count(*) AS n FROM sales WHERE l_linenumber BETWEEN 3 AND 6 GROUP BY ALL
 ), target AS (SELECT DISTINCT order_id, sku, order_date FROM sales WHERE l_linenumber <= 4), fresh AS (
   SELECT * FROM batch ANTI JOIN target USING (order_id, sku, order_date)
 )
 SELECT (SELECT count(*) FROM fresh) AS new_rows,
        CAST((SELECT sum(n) FROM batch) AS BIGINT) - (SELECT count(*) FROM fresh) AS duplicate_rows,
-       CAST(0 AS BIGINT) AS null_key_rows""",
-        "duplicate_precheck": f"""WITH {STORED}
-SELECT normalized_order_id, normalized_sku, CAST(normalized_order_date AS VARCHAR) AS normalized_order_date,
-       CAST(quantity AS BIGINT) AS quantity
-FROM stored SEMI JOIN (SELECT * FROM stored WHERE l_linenumber <= 4) held
-  USING (normalized_order_id, normalized_sku, normalized_order_date)
-WHERE stored.l_linenumber >= 3""",
+       (SELECT count(*) FROM sales WHERE l_linenumber = 7) AS null_key_rows""",
+        "duplicate_precheck": f"""WITH {SALES}, held AS MATERIALIZED (
+  SELECT DISTINCT order_id, sku, order_date FROM sales WHERE l_linenumber <= 4
+), batch AS MATERIALIZED (SELECT order_id, sku, order_date, quantity FROM sales WHERE l_linenumber >= 3)
+SELECT upper(trim(order_id)) AS normalized_order_id, upper(trim(sku)) AS normalized_sku,
+       CAST(order_date AS VARCHAR) AS normalized_order_date, CAST(quantity AS BIGINT) AS quantity
+FROM batch JOIN held USING (order_id, sku, order_date)""",
         "stored_range": f"""WITH {STORED} SELECT {SHOWN} FROM ranked
 WHERE from_last = 1 AND ranked.order_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'
   AND transaction_type = 'Shipment'""",
@@ -606,7 +604,7 @@ FROM stored""",
 FROM facts WHERE sku IS NOT NULL AND order_date IS NOT NULL GROUP BY sku""",
         "csv_roundtrip": f"""WITH {RAW} SELECT count(*) AS rows, count(DISTINCT order_id) AS orders,
        CAST(sum({_money("invoice_amount")}) AS DOUBLE) AS amount,
-       count(*) FILTER (invoice_amount = '') AS missing_amounts,
+       count(*) FILTER (invoice_amount IN ('', 'N/A')) AS missing_amounts,
        count(*) FILTER ({_date("invoice_date")} IS NULL) AS undated, count(*) AS positions FROM raw""",
         "snapshots": f"""WITH {CLEANED}
 SELECT 'raw' AS snapshot, count(*) AS rows, CAST(sum({_money("invoice_amount")}) AS DOUBLE) AS amount FROM copied
@@ -624,7 +622,7 @@ SELECT count(*) AS rows, count(*) AS keys, count(DISTINCT normalized_order_id) A
 )
 SELECT filename, uploads.upload_date, count(*) AS row_count, min(order_date) AS date_range_start,
        max(order_date) AS date_range_end, 'Invoice Amount' AS revenue_header, 'active' AS status,
-       CAST(32 AS BIGINT) AS hash_length
+       true AS same_hash
 FROM valid, uploads GROUP BY filename, uploads.upload_date""",
         "table_lifecycle": f"""WITH {STORED}, first AS (
   SELECT DISTINCT normalized_order_id, normalized_sku, normalized_order_date, month_tag FROM stored
@@ -669,6 +667,31 @@ SELECT CAST(sum(revenue_calc) AS DOUBLE) AS revenue_calc, CAST(sum(shipping_loss
         "sample_per_type": f"""WITH {FACTS}, placed AS (
   SELECT *, row_number() OVER (PARTITION BY transaction_type ORDER BY {ROW_ORDER}, order_id) AS place FROM facts
 ) SELECT {SHOWN} FROM placed WHERE place = 1""",
+        "sample_rows": f"""WITH {FACTS} SELECT {SHOWN} FROM (
+  SELECT * FROM facts ORDER BY {ROW_ORDER}, order_id LIMIT 5
+) facts""",
+        "schema_check": f"""WITH {SALES} SELECT store, missing, (SELECT count(*) FROM (
+    SELECT DISTINCT order_id, sku, order_date FROM sales)) AS rows
+FROM (VALUES ('complete', ''), ('older', 'revenue_calc,needs_estimation')) checks(store, missing)""",
+        "date_forms": f"""SELECT form, o_orderkey AS "order", CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day
+FROM orders, (SELECT concat('form ', i) AS form FROM range({len(fixed.DATE_FORMATS)}) forms(i)) forms""",
+        "mixed_headers": f"""WITH {RAW} SELECT coalesce(lower(trim(sku)), 'none') AS sku, count(*) AS rows,
+       count(DISTINCT trim(order_id)) AS orders, CAST(sum({_quantity("quantity")}) AS BIGINT) AS units,
+       CAST(sum({_money("invoice_amount")}) FILTER (l_linenumber % 2 = 1) AS DOUBLE) AS amount
+FROM raw GROUP BY 1""",
+        "folder_mapping": """SELECT * FROM (VALUES (0, 'order_date', 'Invoice Date'), (0, 'order_id', 'Order Id'), (0, 'sku', 'Sku'),
+  (1, 'order_id', 'Order Id'), (1, 'sku', 'Sku'), (1, 'quantity', 'Quantity'), (1, 'revenue_amount', 'Invoice Amount'),
+  (2, 'asin', 'Asin'), (2, 'region', 'Ship To City')) maps(file, field, header)""",
+        "drop_empty_rows": f"""WITH {RAW}, kept AS (
+  SELECT CASE WHEN l_linenumber <> 7 THEN asin END AS asin_, CASE WHEN l_linenumber < 6 THEN item_description END AS named_
+  FROM raw
+) SELECT asin_ AS "Asin", count(*) AS rows, count(named_) AS named FROM kept
+WHERE asin_ IS NOT NULL OR named_ IS NOT NULL GROUP BY asin_""",
+        "replacement_fallback": NONDERIVED.replace("sales AS (", "all_sales AS (", 1).replace(
+            "per_asin AS (", """sales AS (SELECT * FROM all_sales WHERE NOT (
+  transaction_type = 'Shipment' AND (asin LIKE '%BRASS' OR asin LIKE 'A%' OR asin LIKE 'L%'))), per_asin AS (""", 1
+        )
+        + _finish("*, refund_freight + matched_freight + own_freight AS freight", "totals, replaced"),
         "profile_sample": f"""WITH {PROFILE}
 SELECT upload, header, sampled, round(date_ratio, 4) AS date_ratio,
        CASE WHEN date_ratio > 0 THEN 'yyyy-M-d' END AS date_format, round(numeric_ratio, 4) AS numeric_ratio,

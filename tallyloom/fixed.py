@@ -45,26 +45,52 @@ UNKNOWN_PRODUCT = "UNKNOWN_PRODUCT"
 MISSING_TEXTS = ["nan", "NaN", ""]
 UNKNOWN_LABEL = "Unknown Product"
 
+# --- Fixed values: cell texts a CSV upload uses for "no value" ---------------
+NO_VALUE_TEXTS = [
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
 # --- Fixed values: profiling and mover thresholds ---------------------------
-PROFILE_ROWS = 200
 PROFILE_RATIO = 0.7
 MOVER_CHANGE = 30.0
 MOVER_UNITS = 10
 TOP_PRODUCTS = 10
 TOP_REGIONS = 10
 
-# Date formats tried on a column, in order of preference.
-DATE_FORMATS = ["yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "d MMM yyyy", "yyyy-M-d H:m:s"]
+# Date formats tried on a column, in order of preference, and the shape of their texts.
+DATE_SHAPES = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "yyyy-M-d H:m:s": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "yyyy-M-d'T'H:m:s": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{3,} \d{4}$",
+    "MMMM d, yyyy": r"^[A-Za-z]{3,} \d{1,2}, \d{4}$",
+}
+DATE_FORMATS = list(DATE_SHAPES)
+# Least share of a date column's values that must have the chosen format.
+MIN_DATE_SHARE = 0.5
 
 # --- Fixed values: question routing and answers -----------------------------
 NUMERIC_WORDS = ["total", "count", "sum", "revenue", "orders", "units", "top", "best"]
 PRODUCT_WORDS = ["sku", "product", "item", "best"]
-NOT_UNDERSTOOD = (
-    "I couldn't understand your question. "
-    "Try asking about revenue, orders, units, or top products."
-)
-NO_TIME_SERIES = (
-    "To identify declining trends, I'd need time-series data. "
-    "Currently showing overall totals."
-)
+NOT_UNDERSTOOD = "I couldn't understand your question. Try asking about revenue, orders, units, or top products."
+NO_TIME_SERIES = "To identify declining trends, I'd need time-series data. Currently showing overall totals."
 NO_DATA = "No data available for analysis."
+REVENUE_ANSWER = "**Revenue Breakdown:**\n• **Net Revenue:** %s\n• **Gross Revenue:** %s\n• **Refunds:** %s\n• **Free Replacements:** %s"
+ORDERS_ANSWER = "**Total Orders:** "
+UNITS_ANSWER = "**Total Units Sold:** "
+TOTALS_ANSWER = "Based on the data: Total revenue is %s, with %s orders and %s units sold."
+SUMMARY_ANSWER = "Here's a summary: %s orders totaling %s in revenue."
+PRODUCTS_ANSWER = "**Top Products by Revenue:**\n"
+REVENUE_ROUTE = ["revenue"]
+ORDERS_ROUTE = ["orders", "order count"]
+UNITS_ROUTE = ["units", "quantity"]
+TOTALS_ROUTE = ["trend", "performance"]
+DECLINES_ROUTE = ["declining", "drop"]

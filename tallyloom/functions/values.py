@@ -31,7 +31,7 @@ def number(col: Column) -> Column:
 
 def quantity(col: Column) -> Column:
     """Whole units, truncated toward zero; missing or unusable values count as 0."""
-    return F.coalesce(_plain_int(col), number(col).try_cast("int"), F.lit(0))
+    return F.coalesce(_plain_int(col), number(col).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def missing_quantity(col: Column) -> Column:
@@ -40,15 +40,17 @@ def missing_quantity(col: Column) -> Column:
 
 def _plain_int(col: Column) -> Column:
     """The common case, far cheaper to parse than a decimal."""
-    return strip(col.cast("string")).try_cast("int")
+    return strip(col.cast("string")).try_cast("bigint")
 
 
 def parse_date(col: Column, date_format: str) -> Column:
     """Date in the given format, null for other text."""
     text = strip(col)
     if date_format == ISO_FORMAT:  # the cast is faster than a formatter, but takes more forms
-        return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date"))
-    return F.try_to_date(text, date_format)
+        return F.when(text.rlike(fixed.DATE_SHAPES[ISO_FORMAT]), text.try_cast("date"))
+    shape = fixed.DATE_SHAPES.get(date_format)
+    parsed = F.try_to_date(text, date_format)
+    return parsed if shape is None else F.when(text.rlike(shape), parsed)  # matching is cheaper than a failed parse
 
 
 def transaction_type(col: Column) -> Column:
@@ -100,5 +102,9 @@ def percent_change(current: Column, previous: Column) -> Column:
 
 
 def row_hash_sum(*cols: Column) -> Column:
-    """Aggregate: order-free hash of a set of rows (equal rows add up, they do not cancel)."""
-    return F.sum(F.xxhash64(*cols).cast("decimal(20,0)"))
+    """Aggregate: order-free hash of a set of rows (equal rows add up, they do not cancel).
+
+    The hash passes over nulls, so it also takes where they are.
+    """
+    nulls = F.concat(*[F.when(col.isNull(), "1").otherwise("0") for col in cols])
+    return F.sum(F.xxhash64(*cols, nulls).cast("decimal(20,0)"))

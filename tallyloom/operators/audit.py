@@ -118,14 +118,16 @@ def sample_per_type(df: DataFrame) -> DataFrame:
     return sample_per_value(df, "transaction_type", KNOWN_TYPES)
 
 
-def sample_rows(df: DataFrame, rows: int = 5, columns: list[str] | None = None) -> DataFrame:
-    return (df.select(*columns) if columns else df).limit(rows)
+def sample_rows(df: DataFrame, rows: int = 5, columns: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Some rows; with ``order`` always the same ones."""
+    picked = df.orderBy(*order).limit(rows) if order else df.limit(rows)
+    return picked.select(*columns) if columns else picked
 
 
-def missing_derived(df: DataFrame) -> list[str]:
-    """Derived columns the rows lack."""
-    return [name for name in DERIVED_COLUMNS if name not in df.columns]
-
-
-def count_in_range(df: DataFrame, start: date, end: date, transaction_type: str | None = None) -> DataFrame:
-    return filters.filtered(df, start, end, transaction_type).agg(F.count("*").alias("rows"))
+def overall_totals(df: DataFrame) -> DataFrame:
+    """One row: signed revenue, distinct orders and units of all rows."""
+    return df.agg(
+        F.sum("revenue_in_inr").alias("total_revenue"),
+        F.count_distinct("order_id").alias("total_orders"),
+        F.sum("quantity").alias("total_units"),
+    )

@@ -105,17 +105,6 @@ def count_valid(canonical: DataFrame) -> DataFrame:
     return canonical.agg(F.count_if(valid).alias("valid_rows"), F.count_if(~valid).alias("invalid_rows"))
 
 
-def key_form(df: DataFrame, order_id: str = "order_id", sku: str = "sku", order_date: str = "order_date") -> DataFrame:
-    """Add the normalized upsert key to rows that have typed dates."""
-    return df.withColumns(
-        {
-            "normalized_order_id": values.key_text(F.col(order_id)),
-            "normalized_sku": values.key_text(F.col(sku)),
-            "normalized_order_date": F.col(order_date),
-        }
-    )
-
-
 def stored_columns(df: DataFrame) -> DataFrame:
     return df.select(*SALES_COLUMNS)
 

@@ -5,9 +5,8 @@ number of uploads. Matching looks at headers only; values are profiled just for
 fields that use their type to choose between several headers.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyloom import fixed
 from tallyloom.functions import values
@@ -20,16 +19,6 @@ FIELDS = list(fixed.SYNONYMS)
 TYPED_FIELDS = ["order_date", "quantity", "revenue_amount"]
 
 
-def synonyms(spark: SparkSession) -> DataFrame:
-    """(field, field_ord, synonym, syn_ord): a few dozen fixed rows."""
-    rows = [
-        (field, i, word, j)
-        for i, (field, words) in enumerate(fixed.SYNONYMS.items())
-        for j, word in enumerate(words)
-    ]
-    return spark.createDataFrame(rows, "field string, field_ord int, synonym string, syn_ord int")
-
-
 def headers_of(df: DataFrame, upload: str = "upload") -> DataFrame:
     """The headers of a frame as (upload, header, pos) rows."""
     rows = [(upload, name, pos) for pos, name in enumerate(c for c in df.columns if c != SEQ)]
@@ -82,46 +71,59 @@ def columns_to_profile(headers: list[str]) -> list[str]:
     return [h for h in headers if h in wanted]
 
 
-def profile(cell_rows: DataFrame, rows: int = fixed.PROFILE_ROWS) -> DataFrame:
-    """Parse ratios over the first non-null values of every (upload, header).
+def date_columns(headers: list[str]) -> list[str]:
+    """Headers of one upload that may become its date."""
+    return [h for h in headers if any(w in " ".join(h.split()).lower() or " ".join(h.split()).lower() in w for w in fixed.SYNONYMS["order_date"])]
 
-    The rank limit is applied inside each map task before the shuffle, so a header sends at
-    most ``rows`` values per task however long its upload is.
-    """
-    first = Window.partitionBy("upload", "header").orderBy(SEQ)
-    sample = (
-        cell_rows.where(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= rows)
-    )
-    value = F.col("value")
-
-    def share(parsed: Column) -> Column:
-        return F.avg(parsed.isNotNull().cast("int"))
-
-    formats = {fmt: share(values.parse_date(value, fmt)) for fmt in fixed.DATE_FORMATS}
-    by_format = [f"date_{i}" for i in range(len(formats))]
-    parsed = sample.groupBy("upload", "header").agg(
-        F.count("*").alias("sampled"),
-        *[ratio.alias(name) for name, ratio in zip(by_format, formats.values())],
-        share(values.money(value)).alias("numeric_ratio"),
-        share(values.number(value)).alias("integer_ratio"),
-    )
-    best = F.greatest(*by_format)
-    choice = F.when(best > 0, F.coalesce(*[F.when(F.col(n) == best, F.lit(f)) for n, f in zip(by_format, formats)]))
-    limit = fixed.PROFILE_RATIO
-    return parsed.select(
+
+def profile(cell_rows: DataFrame) -> DataFrame:
+    """Parse ratios over all non-null values of every (upload, header), in one hash aggregation."""
+    counts = cell_rows.where(F.col("value").isNotNull()).groupBy("upload", "header").agg(*_counts(F.col("value")))
+    return _ratios(counts)
+
+
+def profile_upload(df: DataFrame, columns: list[str], *also: Column, upload: str = "upload") -> DataFrame:
+    """One row: the array ``profiles`` of the given columns, and further aggregates of the same pass."""
+    entries = [
+        F.struct(
+            F.lit(upload).alias("upload"),
+            F.lit(name).alias("header"),
+            *_counts(F.col(f"`{name}`").cast("string")),
+        )
+        for name in columns
+    ]
+    return df.agg(F.array(*entries).alias("profiles"), *also)
+
+
+def profiles_of(profiled: DataFrame) -> DataFrame:
+    """``profile_upload``'s array in the form of ``profile``; columns without a value are left out."""
+    return _ratios(profiled.select(F.inline("profiles")).where("sampled > 0"))
+
+
+def _counts(value: Column) -> list[Column]:
+    dates = [F.count_if(values.parse_date(value, fmt).isNotNull()) for fmt in fixed.DATE_FORMATS]
+    return [
+        F.count(value).alias("sampled"),
+        F.array(*dates).alias("dates"),
+        F.count_if(values.money(value).isNotNull()).alias("numbers"),
+        F.count_if(values.number(value).isNotNull()).alias("integers"),
+    ]
+
+
+def _ratios(counts: DataFrame) -> DataFrame:
+    best, limit = F.array_max("dates"), fixed.PROFILE_RATIO
+    formats = F.array(*map(F.lit, fixed.DATE_FORMATS))
+    shares = counts.select(
         "upload",
         "header",
         "sampled",
-        best.alias("date_ratio"),
-        choice.alias("date_format"),
-        "numeric_ratio",
-        "integer_ratio",
-        (best >= limit).alias("is_date"),
-        (F.col("numeric_ratio") >= limit).alias("is_numeric"),
-        (F.col("integer_ratio") >= limit).alias("is_integer"),
+        values.ratio(best, F.col("sampled")).alias("date_ratio"),
+        F.when(best > 0, F.element_at(formats, F.array_position("dates", best).cast("int"))).alias("date_format"),
+        values.ratio(F.col("numbers"), F.col("sampled")).alias("numeric_ratio"),
+        values.ratio(F.col("integers"), F.col("sampled")).alias("integer_ratio"),
     )
+    kinds = {"is_date": "date_ratio", "is_numeric": "numeric_ratio", "is_integer": "integer_ratio"}
+    return shares.select("*", *[(F.col(ratio) >= limit).alias(flag) for flag, ratio in kinds.items()])
 
 
 def auto_map(headers: DataFrame, profiles: DataFrame | None = None) -> DataFrame:

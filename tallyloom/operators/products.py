@@ -8,9 +8,6 @@ from tallyloom.functions import values
 from tallyloom.functions.text import product_label, sku_label
 from tallyloom.sources.workspace import stage
 
-# Current-week rows of one SKU that a single join task meets with the previous week's.
-ROWS_PER_SPLIT = 256
-
 
 def product_totals(df: DataFrame, by_asin: bool = True) -> DataFrame:
     """Derived revenue and units per (sku, asin), or per sku; rows without a key are left out."""
@@ -69,33 +66,24 @@ def last_two_weeks(df: DataFrame, by_asin: bool = True) -> DataFrame:
 
 
 def compare_weeks(two_weeks: DataFrame) -> DataFrame:
-    """Every current product against the previous week's products of the same SKU.
+    """Every current product against the same product of the previous week.
 
-    The match is on SKU alone, so a SKU with many ASINs on both sides fans out. Its current
-    rows are spread over several tasks and its previous rows copied to each of them; an
-    ordinary SKU stays in one. ``two_weeks`` is read three times and should be staged.
+    Products are matched on SKU and ASIN (absent ones being equal), so a product gives one row at most
+    however many ASINs share its SKU. ``two_weeks`` is read twice and should be staged.
     """
     current = two_weeks.where("is_current").select(
         "sku", "asin", F.col("revenue").alias("revenue_current"), F.col("quantity").alias("quantity_current")
     )
     previous = two_weeks.where("NOT is_current").select(
-        "sku", F.col("revenue").alias("revenue_previous"), F.col("quantity").alias("quantity_previous")
-    )
-    splits = (
-        current.groupBy("sku")
-        .agg(F.ceil(F.count("*") / ROWS_PER_SPLIT).cast("int").alias("splits"))
-        .where(F.col("splits") > 1)
-    )
-    count = F.coalesce("splits", F.lit(1))
-    spread = current.join(splits, "sku", "left").withColumn("split", F.pmod(F.hash("asin"), count)).drop("splits")
-    copied = (
-        previous.join(splits, "sku", "left")
-        .withColumn("split", F.explode(F.sequence(F.lit(0), count - 1)))
-        .drop("splits")
+        F.col("sku").alias("previous_sku"),
+        F.col("asin").alias("previous_asin"),
+        F.col("revenue").alias("revenue_previous"),
+        F.col("quantity").alias("quantity_previous"),
     )
+    same = (F.col("sku") == F.col("previous_sku")) & F.col("asin").eqNullSafe(F.col("previous_asin"))
     return (
-        spread.join(copied, ["sku", "split"])
-        .drop("split")
+        current.join(previous, same)
+        .drop("previous_sku", "previous_asin")
         .withColumn("wow_change", values.percent_change(F.col("revenue_current"), F.col("revenue_previous")))
         .withColumn("display_name", product_label(F.col("sku"), F.col("asin")))
     )

@@ -28,13 +28,13 @@ def route(questions: DataFrame) -> DataFrame:
     numeric = _mentions(text, *fixed.NUMERIC_WORDS)
     top = _mentions(text, "top") & _mentions(text, *fixed.PRODUCT_WORDS)
     intent = (
-        F.when(numeric & _mentions(text, "revenue"), "revenue")
-        .when(numeric & _mentions(text, "orders", "order count"), "orders")
-        .when(numeric & _mentions(text, "units", "quantity"), "units")
+        F.when(numeric & _mentions(text, *fixed.REVENUE_ROUTE), "revenue")
+        .when(numeric & _mentions(text, *fixed.ORDERS_ROUTE), "orders")
+        .when(numeric & _mentions(text, *fixed.UNITS_ROUTE), "units")
         .when(numeric & top, "top products")
         .when(numeric, "not understood")
-        .when(_mentions(text, "trend", "performance"), "totals")
-        .when(_mentions(text, "declining", "drop"), "declines")
+        .when(_mentions(text, *fixed.TOTALS_ROUTE), "totals")
+        .when(_mentions(text, *fixed.DECLINES_ROUTE), "declines")
         .otherwise("summary")
     )
     k = F.when(_mentions(text, "top 3"), 3).when(_mentions(text, "top 10"), 10).otherwise(5)
@@ -50,12 +50,12 @@ def route(questions: DataFrame) -> DataFrame:
 def answers(df: DataFrame) -> DataFrame:
     """(intent, k, answer) for every intent over the sales rows: fewer than a dozen rows.
 
-    Ranked products are the largest ``k`` only, so gathering them is bounded.
+    Ranked products are the largest ``k`` only, so gathering them is bounded. ``df`` is read several times and should be
+    staged if it is more than a scan. Without rows, revenue and product questions are not understood.
     """
     money = revenue(df).select(
         F.format_string(
-            "**Revenue Breakdown:**\n• **Net Revenue:** %s\n• **Gross Revenue:** %s\n"
-            "• **Refunds:** %s\n• **Free Replacements:** %s",
+            fixed.REVENUE_ANSWER,
             *[
                 rupees(F.col(name).cast("decimal(38,2)"))
                 for name in ("net_revenue", "gross_revenue", "refunds", "free_replacement_cost")
@@ -79,14 +79,14 @@ def answers(df: DataFrame) -> DataFrame:
     texts = plain.select(
         F.inline(
             F.array(
-                entry("orders", F.concat(F.lit("**Total Orders:** "), thousands(orders))),
-                entry("units", F.concat(F.lit("**Total Units Sold:** "), thousands(units))),
+                entry("orders", F.concat(F.lit(fixed.ORDERS_ANSWER), thousands(orders))),
+                entry("units", F.concat(F.lit(fixed.UNITS_ANSWER), thousands(units))),
                 entry("not understood", F.lit(fixed.NOT_UNDERSTOOD)),
                 entry(
                     "totals",
                     described(
                         F.format_string(
-                            "Based on the data: Total revenue is %s, with %s orders and %s units sold.",
+                            fixed.TOTALS_ANSWER,
                             total,
                             orders.cast("string"),
                             units.cast("string"),
@@ -98,7 +98,7 @@ def answers(df: DataFrame) -> DataFrame:
                     "summary",
                     described(
                         F.format_string(
-                            "Here's a summary: %s orders totaling %s in revenue.", orders.cast("string"), total
+                            fixed.SUMMARY_ANSWER, orders.cast("string"), total
                         )
                     ),
                 ),
@@ -124,10 +124,15 @@ def answers(df: DataFrame) -> DataFrame:
                 rupees((-item["low_first"]).cast("decimal(38,2)")),
             ),
         )
-        return F.concat(F.lit("**Top Products by Revenue:**\n"), F.array_join(lines, "\n"), F.lit("\n"))
+        text = F.concat(F.lit(fixed.PRODUCTS_ANSWER), F.array_join(lines, "\n"), F.lit("\n"))
+        return F.when(F.size("best") > 0, text).otherwise(fixed.NOT_UNDERSTOOD)
 
     tops = ranked.select(F.inline(F.array(*[entry("top products", listing(k), k) for k in TOP_SIZES])))
-    revenue_row = money.select(F.lit("revenue").alias("intent"), F.lit(0).alias("k"), F.col("revenue").alias("answer"))
+    revenue_row = money.select(
+        F.lit("revenue").alias("intent"),
+        F.lit(0).alias("k"),
+        F.when(plain.select("rows").scalar() > 0, F.col("revenue")).otherwise(fixed.NOT_UNDERSTOOD).alias("answer"),
+    )
     return texts.unionByName(tops).unionByName(revenue_row)
 
 

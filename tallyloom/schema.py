@@ -2,7 +2,7 @@
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 4)
+MONEY = T.DecimalType(24, 4)
 
 SALES_SCHEMA = T.StructType(
     [
@@ -11,7 +11,7 @@ SALES_SCHEMA = T.StructType(
         T.StructField("sku", T.StringType()),
         T.StructField("asin", T.StringType()),
         T.StructField("product_name", T.StringType()),
-        T.StructField("quantity", T.IntegerType()),
+        T.StructField("quantity", T.LongType()),
         T.StructField("missing_quantity_flag", T.BooleanType()),
         T.StructField("revenue_in_inr", MONEY),
         T.StructField("shipping_amount", MONEY),
@@ -27,7 +27,7 @@ SALES_SCHEMA = T.StructType(
         T.StructField("normalized_order_date", T.DateType()),
         T.StructField("revenue_calc", MONEY),
         T.StructField("shipping_loss_calc", MONEY),
-        T.StructField("units_sold_calc", T.IntegerType()),
+        T.StructField("units_sold_calc", T.LongType()),
         T.StructField("needs_estimation", T.BooleanType()),
     ]
 )

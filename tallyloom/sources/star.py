@@ -18,16 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def sales(spark: SparkSession, folder: str) -> DataFrame:
     """One row per line item.
 
-    Line items with as many splits as the cluster has cores, or more, meet the orders after
-    these have met customers and nations: the largest table is then shuffled for the order
-    and part joins only. Fewer line items are first spread over all cores and join one table
-    after the other, since the size of a single table is known and it can be broadcast if it
-    is small enough. Which sides are broadcast is left to the measured sizes, and adaptive
-    execution splits a hot key. Counting splits lists files and runs no job.
+    The line items meet the orders after these have met customers and nations, so the largest table
+    is shuffled for the order and part joins only. Which sides are broadcast is left to the measured sizes, and
+    adaptive execution splits a hot key.
     """
-    scan, cores = table(spark, folder, "lineitem"), spark.sparkContext.defaultParallelism
-    small = scan.rdd.getNumPartitions() < cores
-    lines = (scan.repartition(cores) if small else scan).select(
+    lines = table(spark, folder, "lineitem").select(
         "l_orderkey",
         "l_partkey",
         "l_suppkey",
@@ -43,10 +38,7 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
     of_order = F.col("l_orderkey") == F.col("o_orderkey")
     of_customer = F.col("o_custkey") == F.col("c_custkey")
     of_nation = F.col("c_nationkey") == F.col("n_nationkey")
-    if small:
-        placed_lines = lines.join(orders, of_order).join(customer, of_customer).join(nation, of_nation)
-    else:
-        placed_lines = lines.join(orders.join(customer, of_customer).join(nation, of_nation), of_order)
+    placed_lines = lines.join(orders.join(customer, of_customer).join(nation, of_nation), of_order)
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     negative = (flag == "R") & (F.col("l_linenumber") % 2 == 1)
     return (

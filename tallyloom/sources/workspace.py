@@ -1,5 +1,6 @@
 """Shared working folder for staged tables."""
 
+import re
 import tempfile
 import uuid
 
@@ -13,16 +14,34 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may go without the setting; it then gets a new folder under /tmp.
     """
-    configured = spark.conf.get(CONF, None)
+    configured, local = spark.conf.get(CONF, None), spark.sparkContext.master.startswith("local")
     if configured:
+        if not local and re.match(r"(file:/*)?/(tmp|var/tmp)(/|$)", configured):
+            raise ValueError(f"{CONF} names {configured}, a temporary folder of one machine")
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise ValueError(f"set {CONF} to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.conf.set(CONF, folder)
     return folder
 
 
+def _path(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none if it does not exist."""
+    place, files = _path(spark, path)
+    return [entry.getPath().getName() for entry in files.listStatus(place)] if files.exists(place) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place, files = _path(spark, path)
+    files.delete(place, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

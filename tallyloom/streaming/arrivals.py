@@ -49,7 +49,9 @@ def upsert_arrivals(
 
 def _arrivals(spark: SparkSession, folder: str, headers: list[str]) -> DataFrame:
     schema = ", ".join(f"`{h}` string" for h in headers)
-    raw = spark.readStream.schema(schema).option("header", True).option("escape", '"').csv(folder)
+    # a file whose header is not the known layout fails the stream instead of being read by position
+    reader = spark.readStream.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", False)
+    raw = reader.csv(folder)
     return raw.select(
         *[F.col(f"`{h}`") for h in headers],
         F.col("_metadata.file_path").alias("path"),

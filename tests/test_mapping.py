@@ -2,7 +2,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tallyloom import fixed
 from tallyloom.functions import text
 from tallyloom.operators import mapping as maps
 from tallyloom.schema import SEQ
@@ -86,15 +85,15 @@ def test_no_header_matches(spark):
     assert maps.ambiguous_fields(headers, frame).count() == 0
 
 
-def test_profile_uses_first_values_only(spark):
+def test_profile_uses_all_values(spark):
     df = spark.range(1000).select(
         F.when(F.col("id") % 2 == 0, F.when(F.col("id") < 400, "2024-01-01").otherwise("x")).alias("Date"),
         F.col("id").alias(SEQ),
     )
     row = maps.profile(maps.cells(df, ["Date"])).first()
-    assert (row.sampled, row.date_ratio, row.is_date) == (fixed.PROFILE_ROWS, 1.0, True)
-    row = maps.profile(maps.cells(df, ["Date"]), rows=400).first()
-    assert (row.sampled, row.date_ratio, row.is_date) == (400, 0.5, False)
+    assert (row.sampled, row.date_ratio, row.is_date) == (500, 0.4, False)
+    wide = maps.profiles_of(maps.profile_upload(df, ["Date"]))
+    assert wide.first() == row
 
 
 def test_date_format_choice(spark):
@@ -106,6 +105,13 @@ def test_date_format_choice(spark):
     assert chosen(["01/02/2024", "13/02/2024"]) == "d/M/yyyy"
     assert chosen(["2024-01-02 03:04:05"]) == "yyyy-M-d H:m:s"
     assert chosen(["x"]) is None
+    assert chosen(["01/02/2024"] * 200 + ["13/02/2024"] * 300) == "d/M/yyyy"
+    for text, form in [
+        ("05-01-2024", "d-M-yyyy"), ("2024/01/05", "yyyy/M/d"), ("2024-01-05T10:20:30", "yyyy-M-d'T'H:m:s"),
+        ("05-Jan-2024", "d-MMM-yyyy"), ("Jan 5, 2024", "MMM d, yyyy"), ("5 January 2024", "d MMMM yyyy"),
+        ("January 5, 2024", "MMMM d, yyyy"), ("5 Jan 2024", "d MMM yyyy"),
+    ]:
+        assert chosen([text]) == form
 
 
 def test_registry(spark, tmp_path):

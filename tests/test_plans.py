@@ -28,7 +28,8 @@ def test_hot_keys_collapse_before_the_shuffle(spark):
         text = plan(df)
         assert text.index("Final") < text.index("Exchange hashpartitioning") < text.index("Partial")
     cells = star.supplier_cells(spark, FOLDER, ["Order Date"])
-    assert "WindowGroupLimit" in plan(mapping.profile(cells))
+    text = plan(mapping.profile(cells))
+    assert "HashAggregate" in text and "Window" not in text and "SortAggregate" not in text
 
 
 def test_summary_reads_its_rows_once(spark):
@@ -48,18 +49,20 @@ def test_no_cross_joins_and_no_python(spark):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "Python" not in text
 
 
-@pytest.mark.parametrize("path", sorted(pathlib.Path("tallyloom").rglob("*.py")), ids=str)
+OWN = [path for path in sorted(pathlib.Path("tallyloom").rglob("*.py")) if "llm" not in path.parts]
+
+
+@pytest.mark.parametrize("path", OWN, ids=str)
 def test_library_has_no_udfs(path):
     source = path.read_text()
-    assert not re.search(r"udf|localCheckpoint|crossJoin|toPandas|\.rdd\b(?!\.getNumPartitions)", source)
-
-
-def test_both_join_orders_of_the_sales_view_agree(spark):
-    small = star.sales(spark, FOLDER)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
-    try:
-        large = star.sales(spark, FOLDER)
-        assert "RoundRobin" in plan(small) and "RoundRobin" not in plan(large)
-        assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert not re.search(r"udf|localCheckpoint|crossJoin|toPandas|\.rdd\b", source)
+
+
+def test_sales_view_has_one_join_tree(spark):
+    text = plan(star.sales(spark, FOLDER))
+    assert "RoundRobin" not in text and len(re.findall(r"FileScan parquet.*lineitem", text)) == 1
+
+
+def test_queries_evaluate_the_view_once(spark):
+    for name in ("upsert_into_stored", "append_counts", "duplicate_precheck", "question_answers"):
+        assert "lineitem" not in plan(queries.all_queries()[name](spark, FOLDER))

@@ -5,20 +5,21 @@ from tallyloom import fixed
 from tallyloom.plans import dashboard, questions
 
 ROUTES = [
-    ("What's the total revenue?", "numeric", "revenue", 0),
-    ("How many orders?", "numeric", "orders", 0),
-    ("Total units sold?", "numeric", "units", 0),
-    ("Top 3 products", "numeric", "top products", 3),
-    ("Top 10 items", "numeric", "top products", 10),
+    ("Revenue so far, please", "numeric", "revenue", 0),
+    ("Count of orders in the table", "numeric", "orders", 0),
+    ("Sum of units shipped", "numeric", "units", 0),
+    ("List the top 3 products", "numeric", "top products", 3),
+    ("Give me the top 10 items", "numeric", "top products", 10),
     ("Top products", "numeric", "top products", 5),
-    ("Top 5 SKUs by revenue?", "numeric", "revenue", 0),
-    ("Top 30 products", "numeric", "top products", 3),
-    ("What's our best product?", "numeric", "not understood", 0),
-    ("Overall business summary", "numeric", "not understood", 0),
-    ("Show me performance trends", "descriptive", "totals", 0),
-    ("Any declining trends?", "descriptive", "totals", 0),
-    ("Why did sales drop?", "descriptive", "declines", 0),
-    ("Hello", "descriptive", "summary", 0),
+    ("The top SKUs when ranked by revenue", "numeric", "revenue", 0),
+    ("Show the top 30 products", "numeric", "top products", 3),
+    ("Name the best one", "numeric", "not understood", 0),
+    ("A total of what?", "numeric", "not understood", 0),
+    ("Is performance fine?", "descriptive", "totals", 0),
+    ("Any trend, declining or not", "descriptive", "totals", 0),
+    ("Anything declining at all?", "descriptive", "declines", 0),
+    ("Did something drop lately?", "descriptive", "declines", 0),
+    ("Good morning", "descriptive", "summary", 0),
 ]
 SCHEMA = (
     "order_date date, order_id string, sku string, asin string, quantity int, revenue_in_inr decimal(18,4), "
@@ -48,22 +49,23 @@ def test_answers(spark):
     rows = sales(spark, [("1", "a", "X", 1000), ("1", "b", None, 250), ("2", "a", "X", "0.5")])
     found = {r.text: r.answer for r in questions.answer(asked(spark), rows).collect()}
     assert len(found) == len(ROUTES)
-    assert found["How many orders?"] == "**Total Orders:** 2"
-    assert found["Total units sold?"] == "**Total Units Sold:** 6"
-    assert found["Top 3 products"] == "**Top Products by Revenue:**\n1. a (X): ₹1,000.50\n2. b: ₹250.00\n"
-    assert found["Why did sales drop?"] == fixed.NO_TIME_SERIES
-    assert found["What's our best product?"] == fixed.NOT_UNDERSTOOD
-    assert found["Hello"] == "Here's a summary: 2 orders totaling ₹1,250.50 in revenue."
-    assert found["Any declining trends?"] == (
+    assert found["Count of orders in the table"] == "**Total Orders:** 2"
+    assert found["Sum of units shipped"] == "**Total Units Sold:** 6"
+    assert found["List the top 3 products"] == "**Top Products by Revenue:**\n1. a (X): ₹1,000.50\n2. b: ₹250.00\n"
+    assert found["Did something drop lately?"] == fixed.NO_TIME_SERIES
+    assert found["Name the best one"] == fixed.NOT_UNDERSTOOD
+    assert found["Good morning"] == "Here's a summary: 2 orders totaling ₹1,250.50 in revenue."
+    assert found["Any trend, declining or not"] == (
         "Based on the data: Total revenue is ₹1,250.50, with 2 orders and 6 units sold."
     )
-    assert found["What's the total revenue?"].splitlines()[1] == "• **Net Revenue:** ₹1,250.50"
+    assert found["Revenue so far, please"].splitlines()[1] == "• **Net Revenue:** ₹1,250.50"
 
 
 def test_no_data(spark):
     found = {r.text: r.answer for r in questions.answer(asked(spark), sales(spark, [])).collect()}
-    assert found["Hello"] == found["Show me performance trends"] == fixed.NO_DATA
-    assert found["How many orders?"] == "**Total Orders:** 0"
+    assert found["Good morning"] == found["Is performance fine?"] == fixed.NO_DATA
+    assert found["Count of orders in the table"] == "**Total Orders:** 0"
+    assert found["Revenue so far, please"] == found["List the top 3 products"] == fixed.NOT_UNDERSTOOD
 
 
 def test_displays(spark):
