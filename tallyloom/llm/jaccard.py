@@ -11,10 +11,8 @@ Nodes are partitioned into groups by their most frequent probe and their size. T
 token union of every group. A query opens a group if the union has ``needed`` of its visible tokens, a probe among them;
 in an opened group it is compared with the group's most typical member first. Nodes that are linked by
 then need no further comparison with each other. In the second step, queries are compared with those
-members of opened groups that share a probe and belong to another component so far. Of these contested
-nodes all tokens are counted: a pair has at most its heavy tokens (of more than ``LIGHT`` contested nodes) and the light ones
-it is found to share in common, and its parity bits bound the difference; it is compared only if that is
-enough. Sets are compared whole.
+members of opened groups that share a probe and belong to another component so far, unless the parity bits of
+both whole sets differ in more places than linked sets can have different tokens. Sets are compared whole.
 
 Cases: null or blank text has an empty set, links with nothing and is its own component; repeated rows have
 one set and come back as often as they occur; a null id is carried and is nobody's component id unless
@@ -40,10 +38,8 @@ SMALL = 2_000_000
 #: Members compared with one other set in one task.
 CHUNK = 2_000
 REMEMBERED = 200_000
-#: Contested nodes that a token may have for its pairs to be listed.
-LIGHT = 24
 #: Parity bits of a set.
-BITS = 512
+BITS = 1024
 _SPAN = float(2**64)
 
 
@@ -202,44 +198,24 @@ def _links(docs: DataFrame, measured: DataFrame, nodes: DataFrame) -> DataFrame:
     partner = named.select(*sharing, F.col("node").alias("other"), F.col("n").alias("m"), F.col("alone").alias("apart"), F.col("label").alias("tag"), "outside")
     able = "8 * n <= 9 * (n - alone)"  # a smaller set's own bound, and a larger one's
     asking, partner = asking.where(able), partner.where("7.2 * m <= 9 * (m - apart)")
-    contested = asking.select("node", "n", "label").unionByName(partner.select(F.col("other").alias("node"), F.col("m").alias("n"), F.col("tag").alias("label")))
-    contested = stage(contested.distinct(), "contested")
-    whole = stage(_sets(docs, nodes, contested.select("node")).dropDuplicates(["node"]), "whole")
-    held = whole.select("node", F.explode("tokens").alias("token"))
-    common = stage(held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    held = held.join(common, "token")
-    heavy = held.where(F.col("df") > LIGHT).groupBy("node").agg(F.count("*").alias("heavy"))
-    contested = contested.join(heavy, "node", "left").fillna(0, ["heavy"]).join(whole.select("node", "bits"), "node")
-    contested = stage(contested, "contested")
-
-    # pairs that share no light token have at most their heavy ones in common
-    weights = contested.select("node", "heavy", "bits")
-    asking = asking.join(weights, "node").where("8 * n <= 9 * heavy")
-    partner = partner.join(weights.select(F.col("node").alias("other"), F.col("heavy").alias("weight"), F.col("bits").alias("marks")), "other")
+    contested = asking.select("node").unionByName(partner.select(F.col("other").alias("node")))
+    bits = stage(_made(docs, nodes, contested, _bits, "node long, bits array<long>").dropDuplicates(["node"]), "bits")
+    asking = asking.join(_small(bits), "node")
+    partner = partner.join(_small(bits.select(F.col("node").alias("other"), F.col("bits").alias("marks"))), "other")
     # sets differ in at least as many tokens as their parity bits do, linked ones in a ninth of both sizes at most
     differ = " + ".join(f"bit_count(bits[{i}] ^ marks[{i}])" for i in range(BITS // 64))
-    near = f"9 * ({differ}) <= n + m"
-    may_link = f"label <> tag AND m >= n AND 4 * (n + m) <= 9 * least(heavy, weight) AND {near}"
+    may_link = f"label <> tag AND m >= n AND 4 * (n + m) <= 9 * least(n - alone, m - apart) AND 9 * ({differ}) <= n + m"
     outside = asking.where("outside").drop("outside").join(partner.drop("outside"), sharing).where(may_link)
     inside = asking.where("NOT outside").drop("outside").join(partner.where("outside").drop("outside"), sharing).where(may_link)
-
-    # pairs that share light tokens have these and heavy ones in common
-    light = stage(held.where(F.col("df") <= LIGHT).select("node", "token").join(contested, "node"), "light")
-    other = light.select(
-        "token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("heavy").alias("weight"), F.col("label").alias("tag"), F.col("bits").alias("marks")
-    )
-    met = light.join(other, "token").where(f"label <> tag AND 5 * n >= 4 * m AND (n < m OR n = m AND node < other) AND {near}")
-    met = met.groupBy("node", "other", "n", "m", "heavy", "weight").agg(F.count("*").alias("shared"))
-    met = met.where("4 * (n + m) <= 9 * (least(heavy, weight) + shared)")
-    rest = outside.select("node", "other").unionByName(inside.select("node", "other")).unionByName(met.select("node", "other")).distinct()
+    rest = outside.select("node", "other").unionByName(inside.select("node", "other")).distinct()
     return links.unionByName(verify(docs, nodes, rest))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, tokens``: whole sets of the given nodes, made again from the text of one row of each."""
+def _made(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, work, schema: str) -> DataFrame:
+    """What ``work`` makes of the given nodes' sets, which come again from the text of one row of each."""
     rows = stage(wanted.distinct().join(nodes.select("node", "first"), "node"), "wanted")
     texts = docs.join(_small(rows.select(F.col("first").alias("doc_id")).distinct()), "doc_id").select("doc_id", "text")
-    return texts.mapInArrow(_whole_sets, "node long, tokens array<long>, bits array<long>")
+    return texts.mapInArrow(work, schema)
 
 
 def _unsigned(name: str):
@@ -259,22 +235,29 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     members = dealt.select(F.col("node"), "other", "chunk", F.lit(1).alias("role"))
     heads = dealt.select(F.col("other").alias("node"), "other", "chunk", F.lit(0).alias("role")).distinct()
     parts = stage(members.unionByName(heads), "parts")
-    sets = _sets(docs, nodes, parts.select("node"))
+    sets = _made(docs, nodes, parts.select("node"), _whole_sets, "node long, tokens array<long>")
     laid = sets.join(_small(parts), "node").repartition("other", "chunk").sortWithinPartitions("other", "chunk", "role")
     return laid.select("node", "other", "chunk", "role", "tokens").mapInArrow(_compare, "a long, b long").distinct()
 
 
 def _whole_sets(batches):
-    schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    rows = ((node_of(t), t.view(np.int64)) for batch in batches for _, t in sets_of(batch.column(1)) if len(t))
+    yield from batches_of(rows, schema, lambda row: 8 * len(row[1]))
+
+
+def _bits(batches):
+    """Whether a set has an odd number of tokens in each of ``BITS`` classes."""
+    schema = pa.schema([("node", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
     def rows():
         for batch in batches:
             for _, tokens in sets_of(batch.column(1)):
                 if len(tokens):
                     odd = np.bincount((tokens % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-                    yield node_of(tokens), tokens.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
+                    yield node_of(tokens), np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-    yield from batches_of(rows(), schema, lambda row: 8 * len(row[1]))
+    yield from batches_of(rows(), schema)
 
 
 def _compare(batches):
