@@ -102,7 +102,7 @@ def distance(counts: str, reference: list[int]) -> Column:
     """Jensen-Shannon distance of a column of counts to fixed counts."""
     total = sum(reference)
     fixed = "array(" + ", ".join(f"{n / total!r}D" for n in reference) + ")"
-    share = f"transform({counts}, c -> c / greatest(aggregate({counts}, 0L, (s, c) -> s + c), 1L))"
+    share = f"transform({counts}, n_ -> n_ / greatest(aggregate({counts}, 0L, (s_, m_) -> s_ + m_), 1L))"
     return F.expr(
         f"sqrt(greatest(0D, aggregate(zip_with({share}, {fixed}, (a, b) -> "
         "if(a > 0, a * ln(2 * a / (a + b)), 0D) + if(b > 0, b * ln(2 * b / (a + b)), 0D)), 0D, (s, x) -> s + x) / (2 * ln(2D))))"

@@ -105,9 +105,11 @@ def test_extracted_text(pages):
 
 
 def test_quality_cases(docs):
-    clean = "The house of the man and the dog is in the old town with it to be for that. " * 3 + " ".join(f"word{i}" for i in range(40))
+    sentence = "The house of the man and the dog is in the old town with it to be for that. "
+    clean = sentence + " ".join(f"word{i}" for i in range(60))
     junk = " ".join(f"w{i}%%% &&&###" for i in range(80))
     rows = [(1, clean), (2, junk), (3, None), (4, ""), (5, "a b c " * 40), (6, "l1 x\nl1 x\n \n\nl1 x"), (None, clean), (7, clean), (7, clean, None)]
+    rows += [(n, sentence + " ".join(f"word{n}x{i}" for i in range(60))) for n in range(100, 130)]
     found = {r["doc_id"]: r for r in divergence.judge(docs(rows)).collect()}
     assert found[1]["kept"] and found[None]["kept"] and not found[2]["kept"] and not found[2]["base_failed"]
     assert found[3]["base_failed"] and found[3]["n_words"] == 0 and not found[4]["kept"]

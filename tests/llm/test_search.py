@@ -150,7 +150,7 @@ def test_cleaned_keeps_rows_and_columns(docs):
     made = repeats.cleaned(docs(rows))
     assert made.columns == docs(rows).columns
     found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in made.collect()}
-    assert found == {1: ("x" * 100, 100), 2: ("é tail", 6), 3: (None, None), 4: ("short", 5)}
+    assert found == {1: ("x", 1), 2: ("é tail", 6), 3: (None, None), 4: ("short", 5)}
     assert repeats.cleaned(docs(rows).limit(0)).collect() == []
 
 
