@@ -7,12 +7,17 @@ from tallyloom import fixed
 from tallyloom.functions import values
 
 
-def daily_trend(df: DataFrame) -> DataFrame:
-    """Signed revenue and rows per day."""
+def _rows(weight: str | None) -> Column:
+    """Aggregate: rows, or what groups of rows stand for."""
+    return F.count("*") if weight is None else F.sum(weight)
+
+
+def daily_trend(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """Signed revenue and rows per day, of rows or of groups that stand for ``weight`` rows."""
     return (
         df.where(F.col("order_date").isNotNull())
         .groupBy("order_date")
-        .agg(F.sum("revenue_in_inr").alias("revenue"), F.count("*").alias("rows"))
+        .agg(F.sum("revenue_in_inr").alias("revenue"), _rows(weight).alias("rows"))
     )
 
 
@@ -53,8 +58,9 @@ def wow_change(daily: DataFrame) -> DataFrame:
     ).withColumn("wow_revenue_change", change)
 
 
-def status_counts(df: DataFrame) -> DataFrame:
-    return df.where(F.col("status").isNotNull()).groupBy("status").count().orderBy(F.desc("count"), "status")
+def status_counts(df: DataFrame, weight: str | None = None) -> DataFrame:
+    counts = df.where(F.col("status").isNotNull()).groupBy("status").agg(_rows(weight).alias("count"))
+    return counts.orderBy(F.desc("count"), "status")
 
 
 def region_revenue(df: DataFrame, k: int = fixed.TOP_REGIONS) -> DataFrame:
