@@ -70,12 +70,13 @@ def node_of(tokens: np.ndarray) -> int | None:
 
 
 def measure(docs: DataFrame, scale: int = 1) -> DataFrame:
-    """``doc_id, n, node, seen`` and the visible ``tokens`` (null where the task has given this node's before).
+    """``doc_id, n, node, seen, cut, at`` and the visible ``tokens`` (null where the task has given this node's before).
 
     ``seen`` counts the visible tokens by the set's own level; ``tokens`` go on to the level of sets a fifth smaller.
     """
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("seen", pa.int64()), ("cut", pa.int64()), ("tokens", pa.list_(pa.int64()))]
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("seen", pa.int64()), ("cut", pa.int64()), ("at", pa.int64())]
+        + [("tokens", pa.list_(pa.int64()))]
     )
 
     def run(batches):
@@ -83,25 +84,26 @@ def measure(docs: DataFrame, scale: int = 1) -> DataFrame:
 
         def rows():
             for batch in batches:
-                ids = batch.column(0)
+                ids, places = batch.column(0), batch.column(2)
                 for row, tokens in sets_of(batch.column(1)):
+                    doc, at = ids[row].as_py(), places[row].as_py()
                     n, node = len(tokens), node_of(tokens)
                     if n == 0:
-                        yield ids[row].as_py(), 0, None, 0, 0, None
+                        yield doc, 0, None, 0, 0, at, None
                         continue
                     own, wide = (_below(tokens, level(s, scale)) for s in (n, max(1, 4 * n // 5)))
                     cut = int(tokens[own - 1].view(np.int64)) if own else 0
                     if node in given:
-                        yield ids[row].as_py(), n, node, own, cut, None
+                        yield doc, n, node, own, cut, at, None
                         continue
                     if len(given) >= REMEMBERED:
                         given.clear()
                     given.add(node)
-                    yield ids[row].as_py(), n, node, own, cut, tokens[: max(own, wide)].view(np.int64)
+                    yield doc, n, node, own, cut, at, tokens[: max(own, wide)].view(np.int64)
 
-        yield from batches_of(rows(), schema, lambda row: 0 if row[5] is None else 8 * len(row[5]))
+        yield from batches_of(rows(), schema, lambda row: 0 if row[6] is None else 8 * len(row[6]))
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, seen long, cut long, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, seen long, cut long, at long, tokens array<long>")
 
 
 def _below(tokens: np.ndarray, share: float) -> int:
@@ -117,7 +119,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, node`` of every row."""
+    # a row is found again by its id, or else by its text; rows found along with it do no harm
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.withColumn("at", F.coalesce("doc_id", F.xxhash64("text")))
     scale = 1
     while True:
         measured = stage(measure(docs, scale), "sets")
@@ -125,7 +129,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         if measured.where((F.col("n") > 0) & short).isEmpty():
             break
         scale *= 2
-    nodes = measured.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("seen").alias("seen"), F.first("cut").alias("cut"))
+    nodes = measured.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("seen").alias("seen"), F.first("cut").alias("cut"), F.min("at").alias("at"))
     nodes = stage(nodes, "nodes")
     links = _links(docs, measured, nodes)
     labels = components(links)
@@ -213,8 +217,8 @@ def _links(docs: DataFrame, measured: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _made(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, work, schema: str) -> DataFrame:
     """What ``work`` makes of the given nodes' sets, which come again from the text of one row of each."""
-    rows = stage(wanted.distinct().join(nodes.select("node", "first"), "node"), "wanted")
-    texts = docs.join(_small(rows.select(F.col("first").alias("doc_id")).distinct()), "doc_id").select("doc_id", "text")
+    rows = stage(wanted.distinct().join(nodes.select("node", "at"), "node"), "wanted")
+    texts = docs.join(_small(rows.select("at").distinct()), "at").select("at", "text")
     return texts.mapInArrow(work, schema)
 
 

@@ -33,7 +33,7 @@ STORED_UNITS = 400_000
 STORED_LENGTH = 64
 
 #: The characters of Unicode's White_Space property.
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[^{SPACES}]+")
 #: str.split() also splits here, which the tokenizers do not.
 _CONTROLS = re.compile("[\x1c-\x1f]")

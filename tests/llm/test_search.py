@@ -61,6 +61,8 @@ def test_components(docs, monkeypatch, seed):
     texts += [None, "", " \n ", "one", "One", "a b c", "x " * 400, "x " * 400, "É é"]
     rng.shuffle(texts)
     rows = [*enumerate(texts), (3, texts[3]), (None, texts[5]), (None, "alone here for once and all")]
+    near = prose(rng, 60)
+    rows += [(None, near), (None, near + " more"), (900, near + " else"), (7, near + " other")]  # ids that are null or repeated
     found = jaccard.join(docs(rows)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, found), key=str) == brute_components(rows)
 

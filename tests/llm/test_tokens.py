@@ -23,12 +23,12 @@ ODD = st.lists(st.sampled_from(PIECES), max_size=90).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(ODD, st.text(max_size=200)))
+@given(st.one_of(ODD, st.text(st.characters(exclude_categories=["Cs"]), max_size=200)))
 def test_tree_equals_library(text):
     expected = CODEC._library.encode_ordinary(text)
     ids = SMALL.encode(text)
     assert ids.tolist() == expected
-    assert SMALL.decode(ids) == text.encode("utf-8", "replace" if any("\ud800" <= c < "" for c in text) else "strict")
+    assert SMALL.decode(ids) == text.encode()
 
 
 def test_texts_without_cuts():
