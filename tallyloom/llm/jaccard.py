@@ -8,7 +8,7 @@ common with it, so ``needed`` of its visible tokens, and so one of its ``probes`
 without the ``needed - 1`` most frequent ones. Tokens of one node only link nothing and are dropped.
 
 Nodes are partitioned into groups by their most frequent probe and their size. The matrix holds the
-token union of every group. A query opens a group if the union has ``needed`` of its visible tokens, a probe among them;
+token union of every group. A query opens a group if the union may have ``needed`` of its visible tokens, a probe among them;
 in an opened group it is compared with the group's most typical member first. Nodes that are linked by
 then need no further comparison with each other. In the second step, queries are compared with those
 members of opened groups that share a probe and belong to another component so far, unless the parity bits of
@@ -38,6 +38,8 @@ SMALL = 2_000_000
 #: Members compared with one other set in one task.
 CHUNK = 2_000
 REMEMBERED = 200_000
+#: Nodes beyond which a token that is no probe counts as shared without being looked up.
+FREQUENT = 64
 #: Parity bits of a set.
 BITS = 1024
 _SPAN = float(2**64)
@@ -159,7 +161,7 @@ def _links(docs: DataFrame, measured: DataFrame, nodes: DataFrame) -> DataFrame:
     visible = measured.where("tokens IS NOT NULL").select("node", F.explode("tokens").alias("token"))
     counts = visible.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     counts = stage(counts, "tokens")
-    shared = visible.join(_small(counts), "token").distinct()
+    shared = visible.join(counts, "token").distinct()
     shared = shared.join(nodes.select("node", "n", "seen", "cut"), "node")
     # probes: the visible tokens by rising frequency without the needed - 1 last; dropped ones (of one node) come first
     shared = shared.withColumn("own", _unsigned("token") <= _unsigned("cut"))
@@ -172,15 +174,19 @@ def _links(docs: DataFrame, measured: DataFrame, nodes: DataFrame) -> DataFrame:
     top = F.max(F.struct("probe", "df", "token")).over(by_node)
     n_own = F.sum(F.col("own").cast("long")).over(by_node)
     typical = F.round(F.sum(F.when(F.col("own"), F.log("df"))).over(by_node) / F.col("seen"), 6)
-    index = stage(ranked.select("node", "token", "n", "df", "own", "probe", "needed", "band", top["token"].alias("core"), typical.alias("typical"), n_own.alias("n_own"), (F.col("seen") - n_own).alias("alone")), "index")
+    taken = F.sum((F.col("own") & ~F.col("probe") & (F.col("df") > FREQUENT)).cast("long")).over(by_node)
+    index = stage(ranked.select("node", "token", "n", "df", "own", "probe", "needed", "band", top["token"].alias("core"), typical.alias("typical"), taken.alias("taken"), n_own.alias("n_own"), (F.col("seen") - n_own).alias("alone")), "index")
 
     group = ["core", "band"]
     matrix = stage(index.groupBy("token", *group).agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
     # a query needs 9 * shared >= 4 * (own size + partner's size); what it shares is at most n - alone
-    queries = index.where("own AND n_own >= needed").select("node", "token", "n", "probe", "needed", "alone")
-    met = queries.join(matrix, "token").where("most >= n AND least <= floor(5 * n / 4)")
-    opened = met.groupBy("node", *group).agg(F.count("*").alias("overlap"), F.max("probe").alias("probed"), F.first("needed").alias("needed"))
-    opened = stage(opened.where("probed AND overlap >= needed").select("node", *group), "opened")
+    # frequent tokens that are no probes are taken as shared instead of being looked up in many groups
+    queries = index.where("own AND n_own >= needed").select("node", "token", "n", "df", "probe", "needed", "taken")
+    met = queries.where(f"probe OR df <= {FREQUENT}").join(matrix, "token").where("most >= n AND least <= floor(5 * n / 4)")
+    opened = met.groupBy("node", *group).agg(
+        F.count("*").alias("overlap"), F.max("probe").alias("probed"), F.first("needed").alias("needed"), F.first("taken").alias("taken")
+    )
+    opened = stage(opened.where("probed AND overlap + taken >= needed").select("node", *group), "opened")
 
     # the most typical member has the most frequent tokens: of a text and its edited copies, the text
     pivots = index.groupBy(*group).agg(F.max(F.struct("typical", "node")).alias("best"))
