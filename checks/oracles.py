@@ -647,12 +647,12 @@ SELECT transaction_type, CAST(sum(revenue_in_inr) AS DOUBLE) AS original_amount,
        count(*) FILTER (revenue_calc < 0) AS negative_rows, count(*) FILTER (revenue_calc = 0) AS zero_rows,
        CAST(sum(revenue_calc) AS DOUBLE) AS total_revenue, sum(abs(revenue_calc)) = 0 AS all_zero FROM facts""",
         "column_profile": f"""WITH {FACTS}
-SELECT 'revenue_in_inr' AS "column", 'decimal(18,4)' AS type, count(revenue_in_inr) AS non_null,
+SELECT 'revenue_in_inr' AS "column", 'decimal(24,4)' AS type, count(revenue_in_inr) AS non_null,
        CAST(sum(revenue_in_inr) AS DOUBLE) AS total FROM facts
-UNION ALL SELECT 'shipping_amount', 'decimal(18,4)', count(shipping_amount), CAST(sum(shipping_amount) AS DOUBLE) FROM facts
+UNION ALL SELECT 'shipping_amount', 'decimal(24,4)', count(shipping_amount), CAST(sum(shipping_amount) AS DOUBLE) FROM facts
 UNION ALL SELECT 'quantity', 'int', count(quantity), CAST(sum(quantity) AS DOUBLE) FROM facts
 UNION ALL SELECT 'order_id', 'string', count(order_id), NULL FROM facts
-UNION ALL SELECT 'revenue_calc', 'decimal(18,4)', count(revenue_calc), CAST(sum(revenue_calc) AS DOUBLE) FROM facts
+UNION ALL SELECT 'revenue_calc', 'decimal(24,4)', count(revenue_calc), CAST(sum(revenue_calc) AS DOUBLE) FROM facts
 UNION ALL SELECT 'transaction_type', 'string', count(transaction_type), NULL FROM facts""",
         "totals_by_type": f"""WITH {FACTS}
 SELECT transaction_type, count(*) AS rows,
