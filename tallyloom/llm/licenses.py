@@ -1,12 +1,13 @@
 """License statements in texts, found by an exact set-similarity join.
 
-Every text block (a line; lines over ``BLOCK`` words in windows that overlap by half) is joined with
-the templates whose token set it contains to a share of ``threshold`` or more. Tokens are ordered by their
+Every run of ``BLOCK`` words of a text (of twice the template's words, if that is more) is a block, and line ends
+only separate words, so a statement counts however its lines are wrapped. Blocks are joined with
+the templates whose token set they contain to a share of ``threshold`` or more. Tokens are ordered by their
 frequency in the corpus, rarest first. A block that contains enough of a template holds one token
-of the template's prefix (its ``size - needed + 1`` rarest); blocks with fewer distinct words than
-``needed`` are passed over (length filter), and so are pairs whose remaining tokens after the first shared one
-cannot reach ``needed`` any more (positional filter). What is left is counted. Templates are a parameter of
-bounded size, so their index goes to every task; blocks never move.
+of the template's prefix (its ``size - needed + 1`` rarest); texts with fewer of its tokens than
+``needed`` are passed over (length filter), and so are words too far from every prefix token to share a block
+with one (positional filter). What is left is counted in one pass over the places of the template's tokens.
+Templates are a parameter of bounded size, so their index goes to every task; texts never move.
 
 Apart from the join, the places of fixed phrases are listed; their labels always count.
 
@@ -16,6 +17,7 @@ repeated results; null ids stay; other columns are left out; an empty table give
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -62,31 +64,74 @@ class Index:
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
         self.templates = []
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for label, wording in templates:
-            tokens = sorted(set(folded(wording).split()), key=lambda t: (frequency.get(t, 0), t))
+            words = folded(wording).split()
+            tokens = sorted(set(words), key=lambda t: (frequency.get(t, 0), t))
             needed = _ceil(threshold, len(tokens))
-            for place, token in enumerate(tokens[: len(tokens) - needed + 1]):
-                self.prefix.setdefault(token, []).append((len(self.templates), place))
-            self.templates.append((label, tokens, needed))
-        self.first = frozenset(self.prefix)
-
-    def matches(self, words: list[bytes]) -> dict[int, float]:
-        """Template and containment of every template that the block contains to the threshold."""
-        block = set(words)
-        starts: dict[int, int] = {}
-        for token in self.first & block:
-            for template, place in self.prefix[token]:
-                starts[template] = min(place, starts.get(template, place))
-        found = {}
-        for template, place in starts.items():
-            _, tokens, needed = self.templates[template]
-            if len(block) < needed or len(tokens) - place < needed:
+            prefix = frozenset(tokens[: len(tokens) - needed + 1])
+            self.templates.append((label, tokens, needed, prefix, max(BLOCK, 2 * len(words))))
+        self.first = frozenset().union(*(t[3] for t in self.templates))
+        self.tokens = frozenset(token for t in self.templates for token in t[1])
+
+    def matches(self, words: list[bytes]) -> tuple[dict[int, float], int]:
+        """Template and largest containment of every template that a block of the text contains to the
+        threshold; number of places, apart from each other, where they stand."""
+        at: dict[bytes, list[int]] = {}
+        for place, word in enumerate(words):
+            if word in self.tokens:
+                at.setdefault(word, []).append(place)
+        found, spans = {}, []
+        for template, (_, tokens, needed, prefix, size) in enumerate(self.templates):
+            if prefix.isdisjoint(at) or sum(t in at for t in tokens) < needed:
                 continue
-            shared = sum(t in block for t in tokens)
-            if shared >= needed:
-                found[template] = shared / len(tokens)
-        return found
+            near = sorted(p for t in prefix for p in at.get(t, ()))
+            hits = sorted((p, t) for t in tokens for p in at.get(t, ()))
+            most = 0
+            for low, high in _stretches(near, size):
+                part = hits[bisect_left(hits, (low,)) : bisect_left(hits, (high,))]
+                if len(part) >= needed:
+                    most = max(most, _sweep(part, size, needed, spans))
+            if most:
+                found[template] = most / len(tokens)
+        spans.sort()
+        apart, end = 0, -1
+        for first, last in spans:
+            apart += first > end
+            end = max(end, last)
+        return found, apart
+
+
+def _stretches(places: list[int], size: int):
+    """Ranges of words that share a block with one of the places; ranges that touch are one."""
+    low = high = None
+    for place in places:
+        if high is not None and place - size + 1 <= high:
+            high = place + size
+            continue
+        if high is not None:
+            yield low, high
+        low, high = place - size + 1, place + size
+    if high is not None:
+        yield low, high
+
+
+def _sweep(hits: list[tuple[int, bytes]], size: int, needed: int, spans: list[tuple[int, int]]) -> int:
+    """Most distinct tokens in a block, 0 if below ``needed``; first and last token of the blocks that
+    reach it are added to ``spans``."""
+    counts: Counter = Counter()
+    most = left = 0
+    for place, token in hits:
+        counts[token] += 1
+        while hits[left][0] <= place - size or counts[hits[left][1]] > 1:
+            gone = hits[left][1]
+            counts[gone] -= 1
+            if not counts[gone]:
+                del counts[gone]
+            left += 1
+        if len(counts) >= needed:
+            most = max(most, len(counts))
+            spans.append((hits[left][0], place))
+    return most
 
 
 def _ceil(threshold: float, size: int) -> int:
@@ -94,14 +139,10 @@ def _ceil(threshold: float, size: int) -> int:
 
 
 def blocks(text: bytes, size: int = BLOCK):
-    for line in text.split(b"\n"):
-        words = line.split()
-        if len(words) <= size:
-            yield words
-        else:
-            step = size // 2
-            for low in range(0, len(words) - step, step):
-                yield words[low : low + size]
+    """All runs of ``size`` words of a folded text: what the join finds templates in, by its definition."""
+    words = text.split()
+    for low in range(max(1, len(words) - size + 1)):
+        yield words[low : low + size]
 
 
 def places(words: list[bytes], phrases: list[bytes]) -> list[tuple[int, int]]:
@@ -141,7 +182,8 @@ def scan(
 ) -> DataFrame:
     """Per row: ``key, n_words, n_base`` (places of all phrases), ``first_word, last_word`` (smallest and
     largest start of a place), ``base_labels, labels`` (phrases' labels; the join's as well), ``score``
-    (1 with a phrase, else the largest containment the join found, else 0), ``n_blocks`` (blocks it found).
+    (1 with a phrase, else the largest containment the join found, else 0), ``n_blocks`` (places, apart from each other,
+    where it found them).
     """
     frequency = token_frequency(docs, templates, text)
     fixed = [b" ".join(folded(p).split()) for p in phrases]
@@ -164,11 +206,7 @@ def scan(
                     base_labels = {names[n] for _, n in base}
                     found, n_blocks = {}, 0
                     if not index.first.isdisjoint(words):
-                        for block in blocks(content):
-                            own = index.matches(block)
-                            n_blocks += bool(own)
-                            for template, share in own.items():
-                                found[template] = max(share, found.get(template, 0.0))
+                        found, n_blocks = index.matches(words)
                     labels = base_labels | {index.templates[t][0] for t in found}
                     score = 1.0 if base else max(found.values(), default=0.0)
                     yield (
