@@ -1,7 +1,8 @@
 """Benchmark decontamination with a BM25 index of the test items.
 
 Training passages (windows of words that overlap by half, each twice as long as the longest item, 128 words at least)
-are the queries. Terms are pairs of neighbouring words. The weight of a term in an item is its BM25 weight over the item's score for itself,
+are the queries. A word is a run of letters and digits: punctuation next to it or between words is passed over, in items and
+passages alike. Terms are pairs of neighbouring words. The weight of a term in an item is its BM25 weight over the item's score for itself,
 so that scores run from 0 to 1 and one threshold serves all items. Postings are ordered by item in
 blocks with their largest weight; block-max WAND passes over items, blocks and whole passages whose bounds stay
 below the threshold, and returns every item at or above it. A found item is verified: enough of
@@ -12,7 +13,8 @@ The index is broadcast in parts of at most ``PART_ITEMS`` items and about ``PART
 run over the passages in turn, so a larger benchmark takes more passes, not more memory.
 
 Cases: null and empty texts match nothing, nor do items of fewer than two words, which no text can be told
-to have leaked; an item of fewer than five words is one shingle; repeated rows
+to have leaked, unless punctuation standing alone makes them two (these items go by words between white space, with
+their punctuation); an item of fewer than five words is one shingle; repeated rows
 give repeated results; a null id of an item or document is carried as null; other columns are left out; an empty
 table gives an empty result.
 """
@@ -38,8 +40,14 @@ PART_ITEMS = 20_000
 PART_WORDS = 2_000_000
 
 
-def _hashes(text: str) -> np.ndarray:
-    return W.word_hashes(np.frombuffer(text.encode(), np.uint8))[1]
+def _hashes(text: str, clean=W.unmarked) -> np.ndarray:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return W.word_hashes(clean(data) if clean else data)[1]
+
+
+def _cleaner(text: str):
+    """How an item's words are read: without marks, or as they stand if too few are left."""
+    return None if len(_hashes(text)) < 2 <= len(_hashes(text, None)) else W.unmarked
 
 
 def _terms(words: np.ndarray) -> np.ndarray:
@@ -49,10 +57,11 @@ def _terms(words: np.ndarray) -> np.ndarray:
 class Index:
     """Items of one part: postings with block maxima, and the shingles for verification."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], clean=W.unmarked):
         self.ids = [i for i, _ in items]
-        self.checks = [_parts(text) for _, text in items]
-        counted = [np.unique(_terms(_hashes(text)), return_counts=True) for _, text in items]
+        self.clean = clean
+        self.checks = [_parts(text, clean) for _, text in items]
+        counted = [np.unique(_terms(_hashes(text, clean)), return_counts=True) for _, text in items]
         sizes = [int(counts.sum()) for _, counts in counted if len(counts)]
         self.window = max(PASSAGE, 2 * (max(sizes, default=0) + 1))
         every, frequency = np.unique(np.concatenate([t for t, _ in counted]), return_counts=True)
@@ -159,28 +168,31 @@ class Index:
         return min(shares, default=0.0)
 
 
-def _parts(text: str) -> list[tuple[int, np.ndarray]]:
+def _parts(text: str, clean) -> list[tuple[int, np.ndarray]]:
     question, mark, answer = text.rpartition("?")
     parts = [question + mark, answer] if mark and answer.strip() else [text]
     found = []
     for part in parts:
-        words = _hashes(part)
+        words = _hashes(part, clean)
         if len(words):
             found.append((min(W.SHINGLE, len(words)), np.unique(W.shingle_hashes(words))))
     return found
 
 
 def _pieces(items: DataFrame):
-    """Parts of the benchmark with bounded items and words, one at a time on the driver."""
-    held, size = [], 0
+    """Parts of the benchmark with bounded items and words, one at a time on the driver, and how their words are read."""
+    held = {W.unmarked: ([], [0]), None: ([], [0])}
     for row in items.toLocalIterator():
-        held.append((row["item_id"], row["text"] or ""))
-        size += len(held[-1][1]) // 4
-        if len(held) >= PART_ITEMS or size >= PART_WORDS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        clean = _cleaner(row["text"] or "")
+        part, size = held[clean]
+        part.append((row["item_id"], row["text"] or ""))
+        size[0] += len(part[-1][1]) // 4
+        if len(part) >= PART_ITEMS or size[0] >= PART_WORDS:
+            yield part, clean
+            held[clean] = [], [0]
+    for clean, (part, _) in held.items():
+        if part:
+            yield part, clean
 
 
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,7 +201,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).cast("long"), F.col(text))
     context = docs.sparkSession.sparkContext
     parts = _pieces(items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
-    found = [rows.mapInArrow(_searcher(context.broadcast((uuid.uuid4().hex, part))), schema) for part in parts]
+    found = [rows.mapInArrow(_searcher(context.broadcast((uuid.uuid4().hex, *part))), schema) for part in parts]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -198,16 +210,16 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
 
     def cleaner(shared):
         def run(batches):
-            name, part = shared.value
-            index = cached(("bm25", name), lambda: Index(part))
+            name, *part = shared.value
+            index = cached(("bm25", name), lambda: Index(*part))
             for batch in batches:
-                clean = [not index.found(words) for _, words in W.words_of(batch.column(text))]
+                clean = [not index.found(words) for _, words in W.words_of(batch.column(text), index.clean)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run
 
     for part in _pieces(items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))):
-        docs = docs.mapInArrow(cleaner(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, part))), docs.schema)
+        docs = docs.mapInArrow(cleaner(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *part))), docs.schema)
     return docs
 
 
@@ -215,13 +227,13 @@ def _searcher(shared):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())])
 
     def run(batches):
-        name, items = shared.value
-        index = cached(("bm25", name), lambda: Index(items))
+        name, *part = shared.value
+        index = cached(("bm25", name), lambda: Index(*part))
 
         def rows():
             for batch in batches:
                 ids = batch.column(0)
-                for row, words in W.words_of(batch.column(1)):
+                for row, words in W.words_of(batch.column(1), index.clean):
                     for place, (score, overlap) in sorted(index.found(words).items()):
                         yield ids[row].as_py(), index.ids[place], score, overlap
 

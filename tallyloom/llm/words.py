@@ -6,7 +6,9 @@ are known by 64-bit hashes. Work goes in slices of about a megabyte, so memory f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,29 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(hashes)
 
 
+@lru_cache(1)
+def _is_mark() -> np.ndarray:
+    """Code points of punctuation, symbols, separators, controls and format characters."""
+    category = map(unicodedata.category, map(chr, range(0x110000)))
+    return np.fromiter((c[0] in "PSZ" or c in ("Cc", "Cf") for c in category), bool, 0x110000)
+
+
+def unmarked(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with blanks for all that is neither letter, digit nor combining mark."""
+    marks = _is_mark()
+    out = np.where(marks[np.minimum(data, 128)] & (data < 128), np.uint8(32), data)
+    for size, low, high in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF5)):
+        at = np.flatnonzero((data >= low) & (data < high))
+        at = at[at + size <= len(data)]
+        code = (data[at] & (0x7F >> size)).astype(np.int64)
+        for k in range(1, size):
+            code = code << 6 | (data[at + k] & 0x3F)
+        at = at[marks[np.minimum(code, 0x10FFFF)]]
+        for k in range(size):
+            out[at + k] = 32
+    return out
+
+
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hash of every run of ``size`` words; of all words together if there are fewer."""
     n = len(words)
@@ -106,9 +131,10 @@ def texts_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         low = high
 
 
-def words_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, hashes of its words) of a string column, in order."""
+def words_of(column: pa.Array, clean: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashes of its words) of a string column, in order; ``clean`` may blank out bytes before."""
     for low, high, offsets, data in texts_of(column):
+        data = clean(data) if clean else data
         if high - low == 1:
             yield low, word_hashes(data)[1]
             continue
