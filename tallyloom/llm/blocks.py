@@ -9,7 +9,8 @@ The labeller is trained here on generated pages with known labels: ``TRAINING_PA
 seed, with the places where sites put articles, menus, notices, adverts, forms and comments. It never sees the table.
 
 Cases: null or empty html and pages without main text give an empty text; broken markup is read as far as it goes
-(unclosed elements end with their parent); repeated rows give repeated results; null ids and urls stay; other columns
+(unclosed elements end with their parent, an unclosed svg or select also with the next block-level element; scripts, styles,
+titles, text areas and iframes run on to the end of the page); repeated rows give repeated results; null ids and urls stay; other columns
 are left out; an empty table gives an empty result.
 """
 
@@ -39,8 +40,13 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA
 _CLASSES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Content that is not text of the page.
-_SILENT = frozenset("script style title noscript template svg math iframe object textarea select".split())
+_INLINE |= frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts".split())
+_INLINE |= frozenset("mtable mtr mtd mstyle mpadded mphantom menclose merror semantics annotation annotation-xml".split())
+#: Content that is not text of the page: raw text up to its end tag, and elements.
+_RAW = frozenset("script style title textarea iframe".split())
+_SILENT = frozenset("noscript template svg object select".split())
+#: Elements that end an svg or select without its end tag.
+_BREAKS = frozenset("address article aside blockquote body dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 #: An element that starts ends an open one of these kinds, within the given container.
 _ENDS = {"li": ("li", ("ul", "ol")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr",)), "th": ("th", ("tr",))}
 
@@ -49,6 +55,8 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(tag path, text, share of it inside links) of every non-empty block, in page order."""
     found, stack, parts = [], [], []
     at, linked, total, in_link = 0, 0, 0, 0
+    inline = []  # open inline elements and the depth they stand at
+    mute = None  # depth of the outermost silent element and number of inline elements around it
 
     def flush():
         nonlocal linked, total
@@ -58,18 +66,42 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], str, float]]:
         parts.clear()
         linked = total = 0
 
-    def close(name: str, within: tuple[str, ...] = ()):
-        for k in range(len(stack) - 1, -1, -1):
+    def cut(depth: int):
+        nonlocal mute
+        del stack[depth:]
+        while inline and inline[-1][1] > depth:
+            inline.pop()
+        if mute and depth <= mute[0]:
+            mute = None
+
+    def close(name: str, within: tuple[str, ...] = (), least: int = 0):
+        for k in range(len(stack) - 1, least - 1, -1):
             own = stack[k].split(".", 1)[0]
             if own == name:
-                del stack[k:]
+                cut(k)
                 return
             if own in within:
                 return
 
+    def close_inline(name: str):
+        for k in range(len(inline) - 1, -1, -1):
+            if inline[k][0] == name:
+                del inline[k:]
+                if mute and k < mute[1]:
+                    cut(mute[0])
+                return
+
+    def breaks(name: str) -> bool:
+        """Whether an element ends the svg or select it starts in, as that has no end tag of its own."""
+        own = stack[mute[0]]
+        if name == "body" or name not in _BREAKS or own not in ("svg", "select") or "foreignobject" in stack[mute[0] :]:
+            return name == "body"
+        following = re.compile(f"<(/?){own}\\b", re.I).search(html, at)
+        return following is None or not following[1]
+
     def take(chunk: str):
         nonlocal linked, total
-        if chunk:
+        if chunk and not mute:
             chunk = entities.unescape(chunk) if "&" in chunk else chunk
             parts.append(chunk)
             total += len(chunk)
@@ -90,21 +122,34 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], str, float]]:
             at = len(html) if end < 0 else end + 1
         if name not in _INLINE:
             flush()
+        if mute and not tag[1] and breaks(name):
+            cut(mute[0])
         if tag[1]:
-            close(name)
+            close_inline(name) if name in _INLINE else close(name)
             if name == "a":
                 in_link = 0
-        elif name in _SILENT:
-            end = re.compile(f"</{name}[^>]*>?", re.I).search(html, at) if not tag[0].endswith("/>") else None
-            at = end.end() if end else at if tag[0].endswith("/>") else len(html)
-        elif name not in _VOID and not (name in _INLINE and name != "a"):
-            if name not in _INLINE:
-                close("p", ("div", "section", "article", "main", "aside", "td", "li", "body"))
-            if name in _ENDS:
-                close(*_ENDS[name])
-            if name == "a":
-                in_link = 1
+        elif name in _RAW or name in _SILENT:
+            if tag[0].endswith("/>"):
                 continue
+            end = re.compile(f"</{name}[^>]*>?", re.I).search(html, at) if name in _RAW else None
+            if end:
+                at = end.end()
+            elif name in _RAW and not (mute and stack[mute[0]] == "svg"):
+                at = len(html)
+            else:
+                mute = mute or (len(stack), len(inline))
+                stack.append(name)
+        elif name not in _VOID:
+            if name in _INLINE:
+                if not tag[0].endswith("/>"):
+                    inline.append((name, len(stack)))
+                if name == "a" and not mute:
+                    in_link = 1
+                continue
+            least = mute[0] + 1 if mute else 0
+            close("p", ("div", "section", "article", "main", "aside", "td", "li", "body"), least)
+            if name in _ENDS:
+                close(*_ENDS[name], least)
             classes = " ".join("".join(x) for x in _CLASSES.findall(tag[3]))
             stack.append(".".join([name, *re.split(r"[^a-z0-9]+", classes.lower())]) if classes else name)
 
