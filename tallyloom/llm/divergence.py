@@ -5,6 +5,9 @@ of each language by the Jensen-Shannon distance (base 2, from 0 to 1). A languag
 of the histograms of the corpus's rows of that language that pass the base rules. A text is rejected when even its nearest
 language is further away than a limit; a histogram of too few entries is not judged.
 
+The common words of four languages are fixed. Every other language that rows are labelled with has its most frequent
+words counted in the corpus (in its rows that pass the base rules) and a word histogram of its own, so no labelled language goes without a reference.
+
 Base rules: fewer than 50 words, or over half of the words in repeated 3-word windows. Windows are
 compared by a 64-bit hash within one text.
 
@@ -15,7 +18,7 @@ occur; null ids stay; other columns are left out; an empty table gives an empty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.sources.workspace import stage
 
@@ -27,6 +30,8 @@ COMMON = {
     "es": ("el", "los", "y", "las", "por", "del", "una", "se", "no", "con"),
     "fr": ("le", "et", "les", "des", "du", "est", "pour", "dans", "une", "qui"),
 }
+#: Words counted as common in a language that has no list above.
+TOP_WORDS = 10
 #: Character classes; whatever is in none of them, white space left out, is the last bin.
 CLASSES = ("a-z", "A-Z", "0-9", ".,;:'\"()\\-", "!?", "\\x{80}-\\x{10FFFF}")
 MAX_CHARACTER_DISTANCE = 0.3
@@ -41,8 +46,35 @@ def _sql(text: str) -> str:
     return text.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def histograms(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id, lang``, the base counts and the two histograms of every row."""
+def _literal(text: str) -> str:
+    return f"'{_sql(text)}'"
+
+
+def top_words(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+    """The most frequent words of each language without a fixed list, ties by the word."""
+    others = docs.where(F.col(lang).isNotNull() & ~F.col(lang).isin(*LANGUAGES))
+    if others.isEmpty():
+        return {}
+    # written first: a filter on the counts would be pushed into the lambdas
+    counted = stage(_counted(others, key, text, lang, {}), "other_languages")
+    counts = counted.where(~F.col("base_failed")).select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count()
+    order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    rows = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TOP_WORDS).collect()
+    found: dict[str, list[str]] = {}
+    for row in sorted(rows, key=lambda r: (r["lang"], r["place"])):
+        found.setdefault(row["lang"], []).append(row["word"])
+    return found
+
+
+def histograms(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", others: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """``doc_id, lang``, the base counts and the two histograms of every row; ``own``: one more histogram
+    of words for each language of ``others``."""
+    return _counted(docs, key, text, lang, others or {}).drop("words")
+
+
+def _counted(docs: DataFrame, key: str, text: str, lang: str, others: dict[str, list[str]]) -> DataFrame:
     rows = docs.select(F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
     words = rows.withColumn("words", F.expr(f"filter(split(text, '[{_sql(_SPACE)}]+'), w -> w != '')"))
     # columns that lambdas index are used twice below, which keeps the optimizer from inlining them into the lambda
@@ -71,7 +103,14 @@ def histograms(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
         F.expr("cast(size(array_distinct(flatten(transform(repeated, x -> array(x, x + 1, x + 2))))) AS long)").alias("n_repeat_words"),
         *[F.length(F.regexp_replace("text", f"[^{c}]+", "")).cast("long").alias(f"c{i}") for i, c in enumerate(CLASSES)],
         F.expr(f"concat(' ', array_join(filter(words, w -> w IN ({inlist})), '  '), ' ')").alias("seen"),
+        *([F.expr(f"filter(words, w -> w IN ({', '.join(sorted({_literal(w) for ws in others.values() for w in ws}))}))").alias("hits")] if others else []),
     )
+    own = []
+    if others:
+        lists = ", ".join(f"array({', '.join(map(_literal, ws))})" for ws in others.values())
+        hits = f"transform(array({lists}), ws -> transform(ws, w -> cast(size(filter(hits, x -> x = w)) AS long)))"
+        # size("hits") is the second use that keeps the list out of the lambda
+        own = [F.expr(f"transform({hits}, c -> concat(c, array(n_words - aggregate(c, 0L, (s, m) -> s + m))))").alias("own"), F.size("hits").alias("n_hits")]
     named = [F.col(f"c{i}") for i in range(len(CLASSES))]
     rest = F.col("word_chars") - sum(named[1:], named[0])
     of_word = [
@@ -82,6 +121,8 @@ def histograms(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         F.array(*named, rest).alias("characters"),
         F.array(*of_word, F.col("n_words") - sum(of_word[1:], of_word[0])).alias("common"),
+        "words",
+        *own,
     )
 
 
@@ -98,6 +139,18 @@ def references(measured: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
     return {name: both for name, both in found.items() if sum(both[0]) and sum(both[1])}
 
 
+def other_references(measured: DataFrame, others: dict[str, list[str]]) -> list[tuple[list[int], list[int]]]:
+    """Sums of the characters and the own word histogram of each language of ``others``, in its order."""
+    at = {name: n for n, name in enumerate(others)}
+    places = F.create_map(*[F.lit(x) for pair in at.items() for x in pair])
+    rows = measured.where(~F.col("base_failed") & F.col("lang").isin(*others)).withColumn("mine", F.col("own")[places[F.col("lang")]])
+    characters = F.array(*[F.sum(F.col("characters")[i]) for i in range(len(CLASSES) + 1)])
+    # a language of few words has a shorter histogram
+    words = F.array(*[F.sum(F.get("mine", F.lit(i))) for i in range(TOP_WORDS + 1)])
+    found = {r["lang"]: r for r in rows.groupBy("lang").agg(characters.alias("characters"), words.alias("words")).collect()}
+    return [(list(found[name]["characters"]), list(found[name]["words"])[: len(ws) + 1]) for name, ws in others.items()]
+
+
 def distance(counts: str, reference: list[int]) -> Column:
     """Jensen-Shannon distance of a column of counts to fixed counts."""
     total = sum(reference)
@@ -111,14 +164,16 @@ def distance(counts: str, reference: list[int]) -> Column:
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Per row the base counts, ``base_failed``, ``kept`` and the distances to the nearest language."""
-    measured = stage(histograms(docs, key, text, lang), "histograms")
+    others = top_words(docs, key, text, lang)
+    measured = stage(histograms(docs, key, text, lang, others), "histograms")
     known = references(measured)
-    if not known:
+    added = other_references(measured, others) if others else []
+    if not known and not added:
         far = measured.withColumns({"character_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")})
     else:
         nearest = {
-            "character_distance": [distance("characters", c) for c, _ in known.values()],
-            "word_distance": [distance("common", w) for _, w in known.values()],
+            "character_distance": [distance("characters", c) for c, _ in [*known.values(), *added]],
+            "word_distance": [distance("common", w) for _, w in known.values()] + [distance(f"own[{n}]", w) for n, (_, w) in enumerate(added)],
         }
         far = measured.withColumns({k: F.least(*v) if len(v) > 1 else v[0] for k, v in nearest.items()})
     strange = (F.col("word_chars") >= MIN_CHARACTERS) & (F.col("character_distance") > MAX_CHARACTER_DISTANCE)
