@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import blocks, bm25, bpe, divergence, jaccard, langid, licenses, prefixes, repeats, token_counts, warc
+from tallyloom.llm import blocks, bm25, bpe, collocations, divergence, jaccard, langid, licenses, prefixes, repeats, token_counts, warc
 from tallyloom.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predictions(table(spark, folder, "documents"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
 def op13_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     return prefixes.trie(table(spark, folder, "conversations"))
 
@@ -70,10 +74,11 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeats": op8_repeats,
         "op9_decontamination": op9_decontamination,
         "op10_language": op10_language,
+        "op12_collocations": op12_collocations,
         "op13_prefixes": op13_prefixes,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op2_warc": warc.SQL, "op5_quality": divergence.SQL}
+    return {"op2_warc": warc.SQL, "op5_quality": divergence.SQL, "op12_collocations": collocations.SQL}
