@@ -315,32 +315,38 @@ WITH docs AS (
 ), pieces AS (
   SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs
 ), parts AS (
-  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
-), grams AS (
-  SELECT lang, k, w[i : i + k - 1] AS p
-  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM parts, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k)
-), counts AS (
-  SELECT lang, k, p, count(*)::HUGEINT AS f FROM grams GROUP BY ALL
+  SELECT lang, row_number() OVER () AS id, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), words AS (
+  SELECT lang, id, unnest(w) AS a, unnest(range(len(w))) AS i FROM parts
+), runs AS (
+  SELECT lang, a, lead(a, 1) OVER p AS b, lead(a, 2) OVER p AS c FROM words WINDOW p AS (PARTITION BY id ORDER BY i)
+), one AS (
+  SELECT lang, a, count(*)::HUGEINT AS f FROM runs GROUP BY ALL
+), two AS (
+  SELECT lang, a, b, count(*)::HUGEINT AS f FROM runs WHERE b IS NOT NULL GROUP BY ALL
+), three AS (
+  SELECT lang, a, b, c, count(*)::HUGEINT AS f FROM runs WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
 ), totals AS (
-  SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang
-), cand AS (
-  SELECT * FROM counts WHERE k >= 2 AND f >= 10
+  SELECT lang, sum(f) AS n FROM one GROUP BY lang
 ), cuts AS (
-  SELECT c.lang, c.p, c.f, s.s, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score
-  FROM cand c, (VALUES (1), (2)) AS s(s), counts x, counts y
-  WHERE s.s < c.k AND x.lang = c.lang AND x.p = c.p[1 : s.s] AND y.lang = c.lang AND y.p = c.p[s.s + 1 : c.k]
+  SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c AS phrase, t.f, 1 AS cut, x.f AS l, y.f AS r
+  FROM three t JOIN one x ON x.lang = t.lang AND x.a = t.a JOIN two y ON y.lang = t.lang AND y.a = t.b AND y.b = t.c
+  UNION ALL
+  SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.f, 2, x.f, y.f
+  FROM three t JOIN two x ON x.lang = t.lang AND x.a = t.a AND x.b = t.b JOIN one y ON y.lang = t.lang AND y.a = t.c
+), longest AS (
+  SELECT lang, a, b, max(f) AS f FROM (SELECT lang, a, b, f FROM three UNION ALL SELECT lang, b, c, f FROM three) GROUP BY ALL
 ), scored AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, s) = 1
-), inside AS (
-  SELECT DISTINCT lang, p FROM (
-    SELECT t.lang, t.p[1:2] AS p, t.f AS longer FROM cand t WHERE t.k = 3
-    UNION ALL SELECT t.lang, t.p[2:3], t.f FROM cand t WHERE t.k = 3
-  ) JOIN (SELECT lang, p, f FROM cand WHERE k = 2) USING (lang, p) WHERE 100 * longer >= 50 * f
-), ranked AS (
-  SELECT lang, array_to_string(p, ' ') AS phrase, f, l, r, score FROM scored ANTI JOIN inside USING (lang, p)
+  SELECT lang, phrase, f, l, r, (1000000 * f * f) // (l * r) AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+  UNION ALL
+  SELECT t.lang, t.a || ' ' || t.b, t.f, x.f, y.f, (1000000 * t.f * t.f) // (x.f * y.f)
+  FROM two t JOIN one x ON x.lang = t.lang AND x.a = t.a JOIN one y ON y.lang = t.lang AND y.a = t.b
+  LEFT JOIN longest m ON m.lang = t.lang AND m.a = t.a AND m.b = t.b
+  WHERE t.f >= 10 AND coalesce(100 * m.f < 50 * t.f, true)
 )
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank, phrase,
        f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
-FROM ranked JOIN totals USING (lang)
+FROM scored JOIN totals USING (lang)
 QUALIFY rank <= 2000
 """

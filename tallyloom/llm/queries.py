@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import blocks, bm25, bpe, collocations, divergence, jaccard, langid, licenses, prefixes, repeats, token_counts, warc
+from tallyloom.llm import blocks, bm25, bpe, collocations, divergence, jaccard, langid, licenses, prefixes, repeats, substrings, token_counts, warc
 from tallyloom.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predictions(table(spark, folder, "documents"))
 
 
+def op11_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove(table(spark, folder, "documents"), digest=True)
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.mine(table(spark, folder, "documents"))
 
@@ -74,6 +78,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeats": op8_repeats,
         "op9_decontamination": op9_decontamination,
         "op10_language": op10_language,
+        "op11_substrings": op11_substrings,
         "op12_collocations": op12_collocations,
         "op13_prefixes": op13_prefixes,
         "pipeline": corpus_pipeline.run,
@@ -81,4 +86,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op2_warc": warc.SQL, "op5_quality": divergence.SQL, "op12_collocations": collocations.SQL}
+    return {"op2_warc": warc.SQL, "op5_quality": divergence.SQL, "op11_substrings": substrings.SQL, "op12_collocations": collocations.SQL}
