@@ -679,9 +679,31 @@ FROM orders, (SELECT concat('form ', i) AS form FROM range({len(fixed.DATE_FORMA
        count(DISTINCT trim(order_id)) AS orders, CAST(sum({_quantity("quantity")}) AS BIGINT) AS units,
        CAST(sum({_money("invoice_amount")}) FILTER (l_linenumber % 2 = 1) AS DOUBLE) AS amount
 FROM raw GROUP BY 1""",
-        "folder_mapping": """SELECT * FROM (VALUES (0, 'order_date', 'Invoice Date'), (0, 'order_id', 'Order Id'), (0, 'sku', 'Sku'),
-  (1, 'order_id', 'Order Id'), (1, 'sku', 'Sku'), (1, 'quantity', 'Quantity'), (1, 'revenue_amount', 'Invoice Amount'),
-  (2, 'asin', 'Asin'), (2, 'region', 'Ship To City')) maps(file, field, header)""",
+        "folder_mapping": f"""WITH {RAW}, filled AS (
+  SELECT l_linenumber % 3 AS layout, count(*) AS rows, count(invoice_date) AS days, count(order_id) AS orders, count(sku) AS skus,
+         count(nullif(quantity, '')) AS quantities, count(CASE WHEN invoice_amount NOT IN ('', 'N/A') THEN 1 END) AS amounts,
+         count(asin) AS asins, count(ship_to_city) AS cities
+  FROM raw GROUP BY 1
+) SELECT field, header, rows, filled FROM (
+  SELECT 'order_date' AS field, 'Invoice Date' AS header, rows, days AS filled FROM filled WHERE layout = 0
+  UNION ALL SELECT 'order_id', 'Order Id', rows, orders FROM filled WHERE layout < 2
+  UNION ALL SELECT 'sku', 'Sku', rows, skus FROM filled WHERE layout < 2
+  UNION ALL SELECT 'quantity', 'Quantity', rows, quantities FROM filled WHERE layout = 1
+  UNION ALL SELECT 'revenue_amount', 'Invoice Amount', rows, amounts FROM filled WHERE layout = 1
+  UNION ALL SELECT 'asin', 'Asin', rows, asins FROM filled WHERE layout = 2
+  UNION ALL SELECT 'region', 'Ship To City', rows, cities FROM filled WHERE layout = 2)""",
+        "mixed_ingest": f"""WITH {RAW} SELECT substr(invoice_date, 1, 7) AS month_tag,
+       count(DISTINCT concat(order_id, '|', coalesce(sku, 'none'))) AS rows, count(DISTINCT order_id) AS orders
+FROM raw WHERE l_linenumber < 6 GROUP BY 1""",
+        "quoted_lines": f"""WITH {RAW} SELECT
+       CASE WHEN l_partkey % 3 = 0 THEN replace(item_description, ' ', '|') || ', "extra"' ELSE item_description END AS product,
+       count(*) AS rows, count(CASE WHEN l_linenumber = 1 THEN 1 END) AS two_lines, count(DISTINCT order_id) AS orders,
+       CAST(sum({_quantity("quantity")}) AS BIGINT) AS units
+FROM raw GROUP BY 1""",
+        "bad_records": f"""WITH {RAW} SELECT CASE l_linenumber WHEN 3 THEN 'long' WHEN 5 THEN 'short' ELSE 'kept' END AS kind,
+       count(*) AS rows, count(DISTINCT trim(order_id)) AS orders,
+       CAST(coalesce(sum({_quantity("quantity")}) FILTER (l_linenumber NOT IN (3, 5)), 0) AS BIGINT) AS units
+FROM raw GROUP BY 1""",
         "drop_empty_rows": f"""WITH {RAW}, kept AS (
   SELECT CASE WHEN l_linenumber <> 7 THEN asin END AS asin_, CASE WHEN l_linenumber < 6 THEN item_description END AS named_
   FROM raw

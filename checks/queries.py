@@ -354,7 +354,8 @@ def upsert_last_wins(spark, folder):
 
 
 def upsert_into_stored(spark, folder):
-    first, second = two_batches(stage(stored(spark, folder), "rows"))
+    keys = ["normalized_order_id", "normalized_sku", "normalized_order_date"]
+    first, second = two_batches(stage(stored(spark, folder).select(*SHOWN, *keys, SEQ), "rows"))
     merged = upsert.upsert(stage(upsert.last_wins(first), "first"), stage(upsert.last_wins(second), "second"))
     return plain(merged.select(*SHOWN))
 
@@ -376,13 +377,14 @@ def append_if_absent(spark, folder):
 
 def append_counts(spark, folder):
     """Stored raw keys repeat here, and some rows of the batch lack a key."""
-    first, second = two_batches(stage(stored(spark, folder), "rows"))
+    first, second = two_batches(stage(stored(spark, folder).select("order_id", "sku", "order_date", SEQ), "rows"))
     lacking = F.when(F.col(f"{SEQ}.l_linenumber") != 7, F.col("order_id"))
     return plain(upsert.append_report(first, second.withColumn("order_id", lacking)))
 
 
 def duplicate_precheck(spark, folder):
-    first, second = two_batches(stage(stored(spark, folder), "rows"))
+    shown = ["normalized_order_id", "normalized_sku", "normalized_order_date", "quantity", SEQ]
+    first, second = two_batches(stage(stored(spark, folder).select(*shown), "rows"))
     known = upsert.already_stored(upsert.last_wins(first), second)
     return plain(known.select("normalized_order_id", "normalized_sku", "normalized_order_date", "quantity"))
 
@@ -535,19 +537,74 @@ def mixed_headers(spark, folder):
 
 
 def folder_mapping(spark, folder):
-    """One mapping per file of a folder of CSV files with headers of their own."""
+    """A folder of CSV files with three headers between them: the mapping of each, and the cells its rows fill."""
     raw, path = star.raw_sales(spark, folder), new_path(spark, "uploads")
-    layouts = [["Invoice Date", "Order Id", "Sku"], ["Sku", "Quantity", "Order Id", "Invoice Amount"], ["Asin", "Ship To City"]]
-    for i, columns in enumerate(layouts):
-        rows = raw.where(F.col(f"{SEQ}.l_linenumber") == i + 1)
+    headers = [["Invoice Date", "Order Id", "Sku"], ["Sku", "Quantity", "Order Id", "Invoice Amount"], ["Asin", "Ship To City"]]
+    for i, columns in enumerate(headers):
+        rows = raw.where(F.col(f"{SEQ}.l_linenumber") % 3 == i)
         rows.select(*columns).write.option("header", True).option("escape", '"').csv(f"{path}/{i}")
-    # Spark writes each as a folder of part files; all files of one folder are mapped alike
     parts = []
-    for i in range(len(layouts)):
-        mapped = mapping.auto_map(uploads.folder_headers(spark, f"{path}/{i}"))
-        pairs = mapped.select(F.lit(i).alias("file"), F.explode("mappings").alias("field", "header"))
-        parts.append(pairs.where("header IS NOT NULL").distinct())
-    return plain(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    for layout in uploads.layouts(spark, [f"{path}/{i}" for i in range(len(headers))]):
+        records = uploads.read_layout(spark, layout)
+        mapped = mapping.auto_map(mapping.headers_of(records)).select(F.explode("mappings").alias("field", "header"))
+        filled = mapping.cells(records, uploads.upload_headers(records)).groupBy("header")
+        parts.append(mapped.join(filled.agg(F.count("*").alias("rows"), F.count("value").alias("filled")), "header"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return plain(out.select("field", "header", "rows", "filled"))
+
+
+def mixed_ingest(spark, folder):
+    """A folder whose files date their rows under different headers and in different forms, ingested as one upload."""
+    raw, path = star.raw_sales(spark, folder), new_path(spark, "uploads")
+    odd = F.col(f"{SEQ}.l_linenumber") % 2 == 1
+    day = F.date_format(F.try_to_date("Invoice Date", "yyyy-MM-dd"), "dd-MM-yyyy")
+    columns = ["Order Id", "Sku", "Quantity", "Invoice Amount", "Transaction Type"]
+    raw.where(odd).select("Invoice Date", *columns).write.option("header", True).option("escape", '"').csv(f"{path}/a")
+    raw.where(~odd).select(*columns, day.alias("Order Date")).write.option("header", True).option("escape", '"').csv(f"{path}/b")
+    store = new_store(spark)
+    ingest.ingest(store, [f"{path}/a", f"{path}/b"], "folder", UPLOADED)
+    return plain(store.sales().groupBy("month_tag").agg(F.count("*").alias("rows"), F.count_distinct("order_id").alias("orders")))
+
+
+def quoted_lines(spark, folder):
+    """An upload whose product names and cities hold line breaks, commas and quotes, ingested and summed up by name."""
+    raw = star.raw_sales(spark, folder)
+    name = F.concat(F.regexp_replace("Item Description", " ", "\n"), F.lit(', "extra"'))
+    city = F.concat(F.col("Ship To City"), F.lit("\nline two"))
+    rows = raw.withColumn("Item Description", F.when(F.col(f"{SEQ}.l_partkey") % 3 == 0, name).otherwise(F.col("Item Description")))
+    rows = rows.withColumn("Ship To City", F.when(F.col(f"{SEQ}.l_linenumber") == 1, city).otherwise(F.col("Ship To City")))
+    back = uploads.read_upload(spark, uploads.write_csv(rows.drop(SEQ), new_path(spark, "quoted")))
+    return plain(
+        back.groupBy(F.replace("Item Description", F.lit("\n"), F.lit("|")).alias("product")).agg(
+            F.count("*").alias("rows"),
+            F.count_if(F.col("Ship To City").endswith("\nline two")).alias("two_lines"),
+            F.count_distinct("Order Id").alias("orders"),
+            F.sum(values.quantity(F.col("Quantity"))).alias("units"),
+        )
+    )
+
+
+def bad_records(spark, folder):
+    """Records with too many and too few cells among the line items: kept apart, by their order, and not in the rows."""
+    raw = star.raw_sales(spark, folder)
+    line, order = F.col(f"{SEQ}.l_linenumber"), F.coalesce(F.trim("Order Id"), F.lit(""))
+    cells = F.concat_ws(",", order, "Asin", F.coalesce("Quantity", F.lit("")))
+    text = F.when(line == 3, F.concat(cells, F.lit(",extra,cells"))).when(line == 5, F.concat(order, F.lit(",short"))).otherwise(cells)
+    path = new_path(spark, "bad")
+    lines = raw.select(text.alias("Order Id,Asin,Quantity"))  # one column of whole lines, under a whole header
+    lines.write.option("header", True).option("quote", "\u0000").option("sep", "\u0001").csv(path)
+    records = stage(uploads.read_records(spark, path), "records")
+    good, bad = uploads.good_records(records), uploads.bad_records(records)
+    kept = good.groupBy(F.lit("kept").alias("kind")).agg(
+        F.count("*").alias("rows"), F.count_distinct("Order Id").alias("orders"), F.sum(values.quantity(F.col("Quantity"))).alias("units")
+    )
+    kind = F.when(F.col("bad_record").endswith(",short"), "short").when(F.col("bad_record").endswith(",extra,cells"), "long").otherwise("other")
+    apart = bad.groupBy(kind.alias("kind")).agg(
+        F.count("*").alias("rows"), F.count_distinct(F.split("bad_record", ",")[0]).alias("orders"), F.lit(0).cast("long").alias("units")
+    )
+    return plain(kept.unionByName(apart))
 
 
 def drop_empty_rows(spark, folder):
@@ -768,6 +825,9 @@ def all_queries():
             date_forms,
             mixed_headers,
             folder_mapping,
+            mixed_ingest,
+            quoted_lines,
+            bad_records,
             drop_empty_rows,
             replacement_fallback,
             table_lifecycle,

@@ -63,3 +63,4 @@ DERIVED_COLUMNS = ["revenue_calc", "shipping_loss_calc", "units_sold_calc", "nee
 # Columns added while an upload is on its way to the store.
 SEQ = "seq"
 COPIES = "copies"
+BAD = "bad_record"

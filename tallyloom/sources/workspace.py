@@ -3,6 +3,7 @@
 import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,12 +47,50 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """The folders staged while it is open: ``with Scratch(spark): ...`` deletes them at its end.
+
+    Leave it only when what was made of the staged frames is written or collected: until then lost executors
+    read the files again, afterwards nobody needs them. ``keep`` lets it end without deleting; ``delete`` follows later.
+    """
+
+    _open: ContextVar[tuple["Scratch", ...]] = ContextVar("open", default=())
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+        self.kept = False
+
+    def __enter__(self) -> "Scratch":
+        self._token = self._open.set((*self._open.get(), self))
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self._open.reset(self._token)
+        if kind is not None or not self.kept:
+            self.delete()
+
+    def keep(self) -> None:
+        self.kept = True
+
+    def delete(self) -> None:
+        while self.paths:
+            delete(self.spark, self.paths.pop())
+
+    @classmethod
+    def note(cls, path: str) -> None:
+        if cls._open.get():
+            cls._open.get()[-1].paths.append(path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For frames that feed several jobs: the plan above runs once, readers get column
-    pruning and real sizes, and a lost executor re-reads files instead of recomputing.
+    pruning and real sizes, and a lost executor re-reads files instead of recomputing. The folder goes with
+    the innermost open ``Scratch``; without one it stays.
     """
     path = new_path(df.sparkSession, name)
+    Scratch.note(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,6 +14,7 @@ from tallyloom.operators.canonical import to_canonical, with_valid_keys
 from tallyloom.operators.cleaning import Mapping, clean_upload
 from tallyloom.schema import SEQ
 from tallyloom.sources.store import SalesStore
+from tallyloom.sources.uploads import value_or_null
 
 
 def upsert_arrivals(
@@ -53,7 +54,7 @@ def _arrivals(spark: SparkSession, folder: str, headers: list[str]) -> DataFrame
     reader = spark.readStream.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", False)
     raw = reader.csv(folder)
     return raw.select(
-        *[F.col(f"`{h}`") for h in headers],
+        *[value_or_null(F.col(f"`{h}`")).alias(h) for h in headers],
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
     )
