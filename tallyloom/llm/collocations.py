@@ -3,7 +3,7 @@
 Nodes are pairs of words, an edge of weight f(abc) runs from ab to bc. A pair that ends its piece has an edge to no node.
 All shorter counts come from flows: f(ab) is what flows out of the node ab, f(a) what flows out of all nodes that begin
 with a, plus the pieces that end with the word a. Both are linear, so a task derives the words' shares
-from its own part of the graph, adds up equal edges, and sends every edge once per two million; nodes are complete
+from its own part of the graph, adds up equal edges, and sends every edge once per million; nodes are complete
 after the one shuffle, which is by node. Sorted edges are summed as they stream by, however many there are.
 
 What occurs ``least`` times stays as the frequent graph. Its unary nodes, which all of one edge's weight enters and all of
@@ -34,7 +34,7 @@ LEAST = 10
 SHARE = 50
 TOP = 2_000
 #: Edges that a task adds up at a time.
-BUFFER = 2_000_000
+BUFFER = 1_000_000
 #: Bytes up to which a table of known size is sent to all tasks.
 BROADCAST_BYTES = 64_000_000
 
@@ -110,33 +110,38 @@ def _rows(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names=list("abcn"))
 
 
-def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sums of the counts of equal neighbours."""
+def _summed(keys: list[np.ndarray], counts: np.ndarray, known: np.ndarray | None = None) -> tuple:
+    """Sums of the counts of equal neighbours, and what is ``known`` of the first of them."""
     opens = np.ones(len(counts), bool)
     if len(counts) > 1:
         opens[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     at = np.flatnonzero(opens)
-    return [k[at] for k in keys], np.add.reduceat(counts, at) if len(at) else counts
+    sums = np.add.reduceat(counts, at) if len(at) else counts
+    return ([k[at] for k in keys], sums) if known is None else ([k[at] for k in keys], sums, known[at])
 
 
-def _added(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _added(words: np.ndarray, counts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(words)
-    (words,), counts = _summed([words[order]], counts[order])
-    return words, counts
+    (words,), counts, seeds = _summed([words[order]], counts[order], seeds[order])
+    return words, counts, seeds
 
 
-def _local_graph(edges: list, lasts: list, seeds: list) -> Iterator[pa.RecordBatch]:
+def _local_graph(edges: list, lasts: list, totals: list) -> Iterator[pa.RecordBatch]:
     """Equal edges of a task's buffer added up; its words' counts from its nodes' flows and its pieces' ends."""
-    keys = [np.concatenate([e[k] for e in edges]) for k in range(3)]
+    *keys, seeds = (np.concatenate([e[k] for e in edges]) for k in range(4))
+    edges.clear()
     order = np.lexsort(keys[::-1])
-    keys, weight = _summed([k[order] for k in keys], np.ones(len(order), np.int64))
+    for k in range(3):
+        keys[k] = keys[k][order]
+    seeds = seeds[order]
+    del order
+    keys, weight, seeds = _summed(keys, np.ones(len(seeds), np.int64), seeds)
     yield _rows(*keys, weight)
-    nodes, flow = _summed(keys[:2], weight)
-    (firsts,), flow = _summed(nodes[:1], flow)
-    lasts = np.concatenate(lasts)
-    words, counts = _added(np.concatenate([firsts, lasts]), np.concatenate([flow, np.ones(len(lasts), np.int64)]))
-    yield _rows(words, np.full(len(words), _WORD), np.full(len(words), _NONE), counts)
-    of, counts = _added(np.concatenate([s for s, _ in seeds]), np.concatenate([n for _, n in seeds]))
+    (firsts,), flow, seeds = _summed(keys[:1], weight, seeds)
+    last, of = (np.concatenate([x[k] for x in lasts]) for k in range(2))
+    words, counts, seeds = _added(np.concatenate([firsts, last]), np.concatenate([flow, np.ones(len(last), np.int64)]), np.concatenate([seeds, of]))
+    yield _rows(words, np.full(len(words), _WORD), seeds, counts)
+    of, counts, _ = _added(*(np.concatenate([t[k] for t in totals]) for k in (0, 1, 0)))
     yield _rows(of, np.full(len(of), _LANGUAGE), np.full(len(of), _NONE), counts)
 
 
@@ -145,17 +150,19 @@ def _edges(batches):
     for batch in batches:
         seeds, texts = _columns(batch)
         for found in words_of(texts, seeds):
-            h, piece = found.hashes, found.piece
+            h, piece, of = found.hashes, found.piece, seeds[found.row]
             if not len(h):
                 continue
             # texts begin new pieces, so a piece has one row
             paired = piece[:-1] == piece[1:]
             three = np.flatnonzero(paired[:-1] & paired[1:])
-            edges.append((h[three], h[three + 1], h[three + 2]))
+            edges.append((h[three], h[three + 1], h[three + 2], of[three]))
             two = np.flatnonzero(paired & ~np.append(paired[1:], False))
-            edges.append((h[two], h[two + 1], np.full(len(two), _NONE, np.uint64)))
-            lasts.append(h[~np.append(paired, False)])
-            totals.append(_added(seeds[found.row], np.ones(len(h), np.int64)))
+            edges.append((h[two], h[two + 1], np.full(len(two), _NONE, np.uint64), of[two]))
+            last = ~np.append(paired, False)
+            lasts.append((h[last], of[last]))
+            (languages,), counts = _summed([of], np.ones(len(h), np.int64))
+            totals.append((languages, counts))
             size += len(h)
             if size >= BUFFER:
                 yield from _local_graph(edges, lasts, totals)
@@ -201,7 +208,7 @@ def _frequent(least: int):
 
 
 def graph(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The frequent graph, written: ``kind, a, b, c, n`` with languages (0), words (1), nodes (2) and edges (3)."""
+    """The frequent graph, written: ``kind, a, b, c, n`` with languages (0), words and their languages (1), nodes (2) and edges (3)."""
     texts = docs.select(F.xxhash64(_language(lang)).alias("seed"), F.col(text).cast("string").alias("text"))
     edges = texts.mapInArrow(_edges, "a long, b long, c long, n long")
     laid = edges.repartition("a", "b").sortWithinPartitions("a", "b", "c")
@@ -243,22 +250,23 @@ def paths(found: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _spellings(batches):
-    """Hash, and folded spelling of words, mostly once a task."""
-    schema = pa.schema([("h", pa.int64()), ("word", pa.string()), ("row", pa.int64())])
+    """Hash and folded spelling of words, mostly once a task."""
+    schema = pa.schema([("h", pa.int64()), ("word", pa.string())])
+    given = np.zeros(0, np.uint64)
 
     def rows():
+        nonlocal given
         for batch in batches:
             seeds, texts = _columns(batch)
             for found in words_of(texts, seeds):
                 hashes, first = np.unique(found.hashes, return_index=True)
-                fresh = ~np.isin(hashes, given[0], assume_unique=True)
+                fresh = ~np.isin(hashes, given, assume_unique=True)
                 hashes, first = hashes[fresh], first[fresh]
-                given[0] = np.concatenate([given[0], hashes]) if len(given[0]) < BUFFER // 4 else hashes
+                given = np.concatenate([given, hashes]) if len(given) < BUFFER // 4 else hashes
                 data = found.data.tobytes()
-                for h, a, b, row in zip(hashes.view(np.int64).tolist(), found.starts[first].tolist(), found.ends[first].tolist(), seeds[found.row[first]].view(np.int64).tolist()):
-                    yield h, data[a:b].lower().decode(), row
+                for h, a, b in zip(hashes.view(np.int64).tolist(), found.starts[first].tolist(), found.ends[first].tolist()):
+                    yield h, data[a:b].lower().decode()
 
-    given = [np.zeros(0, np.uint64)]
     yield from batches_of(rows(), schema, lambda r: len(r[1]))
 
 
@@ -271,8 +279,8 @@ def mine(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int = TOP
     """``lang, rank, phrase, a, l, r, n, score`` of each language's best ``top`` phrases."""
     found = graph(docs, least, text, lang)
     nodes = compacted(found)
-    counts = found.where("kind = 1").select(F.col("a").alias("w"), "n")
-    one, other, end = (counts.select(F.col("w").alias(x), F.col("n").alias(f"f{x}")) for x in "abc")
+    counts = found.where("kind = 1").select(F.col("a").alias("w"), F.col("c").alias("seed"), "n")
+    one, other, end = (counts.select(F.col("w").alias(x), F.col("n").alias(f"f{x}"), *(["seed"] if x == "a" else [])) for x in "abc")
     edges = found.where("kind = 3").select("a", "b", "c", "n")
     # nodes inside a path have the weight of their edges
     branching = nodes.where("NOT unary").select("a", "b", F.col("n").alias("flow"))
@@ -284,22 +292,24 @@ def mine(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int = TOP
         .join(end, "c")
         .withColumns({"s1": _score("n", "fa", "fbc"), "s2": _score("n", "fab", "fc")})
         .withColumn("cut", F.when(F.col("s2") < F.col("s1"), 2).otherwise(1))
-        .select("a", "b", "c", "n", F.when(F.col("cut") == 1, F.col("fa")).otherwise(F.col("fab")).alias("l"), F.when(F.col("cut") == 1, F.col("fbc")).otherwise(F.col("fc")).alias("r"), F.least("s1", "s2").alias("score"))
+        .select("seed", "a", "b", "c", "n", F.when(F.col("cut") == 1, F.col("fa")).otherwise(F.col("fab")).alias("l"), F.when(F.col("cut") == 1, F.col("fbc")).otherwise(F.col("fc")).alias("r"), F.least("s1", "s2").alias("score"))
     )
     whole = F.greatest(F.coalesce("most_in", F.lit(0)), F.coalesce("most_out", F.lit(0)))
     two = nodes.where(~F.col("unary")).where(~((whole > 0) & (100 * whole >= share * F.col("n")))).select("a", "b", "n").join(one, "a").join(other, "b")
-    two = two.select("a", "b", F.lit(None).cast("long").alias("c"), "n", F.col("fa").alias("l"), F.col("fb").alias("r"), _score("n", "fa", "fb").alias("score"))
-    scored = stage(three.unionByName(two), "scored")
+    two = two.select("seed", "a", "b", F.lit(None).cast("long").alias("c"), "n", F.col("fa").alias("l"), F.col("fb").alias("r"), _score("n", "fa", "fb").alias("score"))
+    # only what is among the best by score and count, ties included, is spelled out and ordered by phrase
+    by_score = Window.partitionBy("seed").orderBy(F.desc("score"), F.desc("n"))
+    scored = three.unionByName(two).withColumn("place", F.rank().over(by_score)).where(F.col("place") <= top).drop("place")
+    scored = stage(scored, "scored")
 
     wanted = stage(scored.select(F.explode(F.array("a", "b", "c")).alias("h")).where("h IS NOT NULL").distinct(), "wanted")
     texts = docs.select(F.xxhash64(_language(lang)).alias("seed"), F.col(text).cast("string").alias("text"))
-    spelled = texts.mapInArrow(_spellings, "h long, word string, seed long")
+    spelled = texts.mapInArrow(_spellings, "h long, word string")
     known = F.broadcast(wanted) if 16 * wanted.count() <= BROADCAST_BYTES else wanted
-    spelled = stage(spelled.join(known, "h").groupBy("h").agg(F.first("word").alias("word"), F.first("seed").alias("seed")), "spellings")
+    spelled = stage(spelled.join(known, "h").groupBy("h").agg(F.first("word").alias("word")), "spellings")
     named = scored
     for x in "abc":
-        columns = [F.col("h").alias(x), F.col("word").alias(f"w{x}"), *([F.col("seed")] if x == "a" else [])]
-        named = named.join(spelled.select(*columns), x, "left" if x == "c" else "inner")
+        named = named.join(spelled.select(F.col("h").alias(x), F.col("word").alias(f"w{x}")), x, "left" if x == "c" else "inner")
     languages = docs.select(_language(lang).alias("lang")).distinct().withColumn("seed", F.xxhash64("lang"))
     totals = found.where("kind = 0").select(F.col("a").alias("seed"), F.col("n").alias("words")).join(languages, "seed")
     phrases = named.select("seed", F.concat_ws(" ", "wa", "wb", "wc").alias("phrase"), F.col("n").alias("a"), "l", "r", "score")
