@@ -8,6 +8,9 @@ from tallyloom.functions.text import WHITESPACE, blank_to_null, strip, title_cas
 from tallyloom.schema import MONEY
 
 ISO_FORMAT = "yyyy-M-d"
+# Texts that are certainly a number, in all types used here, and texts that certainly are none.
+PLAIN_NUMBER = r"^-?\d{1,15}(?:\.\d{1,4})?$"
+NO_NUMBER = "[A-DF-Za-df-z]"
 CURRENCY_NOISE = "₹$," + WHITESPACE
 
 
@@ -45,12 +48,15 @@ def _plain_int(col: Column) -> Column:
 
 def parse_date(col: Column, date_format: str) -> Column:
     """Date in the given format, null for other text."""
+    shape, parsed = fixed.DATE_SHAPES.get(date_format), parse_shaped(col, date_format)
+    return parsed if shape is None else F.when(strip(col).rlike(shape), parsed)  # matching is cheaper than a failed parse
+
+
+def parse_shaped(col: Column, date_format: str) -> Column:
+    """Date of a text that is known to have the shape of its format."""
     text = strip(col)
-    if date_format == ISO_FORMAT:  # the cast is faster than a formatter, but takes more forms
-        return F.when(text.rlike(fixed.DATE_SHAPES[ISO_FORMAT]), text.try_cast("date"))
-    shape = fixed.DATE_SHAPES.get(date_format)
-    parsed = F.try_to_date(text, date_format)
-    return parsed if shape is None else F.when(text.rlike(shape), parsed)  # matching is cheaper than a failed parse
+    # the cast is faster than a formatter, but takes more forms
+    return text.try_cast("date") if date_format == ISO_FORMAT else F.try_to_date(text, date_format)
 
 
 def transaction_type(col: Column) -> Column:

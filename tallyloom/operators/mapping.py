@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import fixed
 from tallyloom.functions import values
-from tallyloom.functions.text import header_signature, normalize_header
+from tallyloom.functions.text import header_signature, normalize_header, strip
 from tallyloom.operators.cleaning import Mapping
 from tallyloom.schema import SEQ
 
@@ -78,21 +78,18 @@ def date_columns(headers: list[str]) -> list[str]:
 
 def profile(cell_rows: DataFrame) -> DataFrame:
     """Parse ratios over all non-null values of every (upload, header), in one hash aggregation."""
-    counts = cell_rows.where(F.col("value").isNotNull()).groupBy("upload", "header").agg(*_counts(F.col("value")))
-    return _ratios(counts)
+    looked = cell_rows.where(F.col("value").isNotNull()).select("upload", "header", _looks(F.col("value")).alias("looks"))
+    return _ratios(looked.groupBy("upload", "header").agg(*_counts(F.col("looks"))))
 
 
 def profile_upload(df: DataFrame, columns: list[str], *also: Column, upload: str = "upload") -> DataFrame:
     """One row: the array ``profiles`` of the given columns, and further aggregates of the same pass."""
+    looked = df.withColumns({f"looks of {name}": _looks(F.col(f"`{name}`").cast("string")) for name in columns})
     entries = [
-        F.struct(
-            F.lit(upload).alias("upload"),
-            F.lit(name).alias("header"),
-            *_counts(F.col(f"`{name}`").cast("string")),
-        )
+        F.struct(F.lit(upload).alias("upload"), F.lit(name).alias("header"), *_counts(F.col(f"`looks of {name}`")))
         for name in columns
     ]
-    return df.agg(F.array(*entries).alias("profiles"), *also)
+    return looked.agg(F.array(*entries).alias("profiles"), *also)
 
 
 def profiles_of(profiled: DataFrame) -> DataFrame:
@@ -100,13 +97,37 @@ def profiles_of(profiled: DataFrame) -> DataFrame:
     return _ratios(profiled.select(F.inline("profiles")).where("sampled > 0"))
 
 
-def _counts(value: Column) -> list[Column]:
-    dates = [F.count_if(values.parse_date(value, fmt).isNotNull()) for fmt in fixed.DATE_FORMATS]
+def _looks(value: Column) -> Column:
+    """What a text may be by its shape, taken once for all formats: a date of a shape, a plain number, or some number."""
+    text = strip(value)
+    shapes = list(dict.fromkeys(fixed.DATE_SHAPES.values()))
+    dated = text.rlike("|".join(shapes))
+    shape = F.lit(None).cast("int")
+    for i, pattern in reversed(list(enumerate(shapes))):
+        shape = F.when(text.rlike(pattern), i).otherwise(shape)
+    return F.when(
+        value.isNotNull(),
+        F.struct(
+            value.alias("value"),
+            F.when(dated, shape).alias("shape"),
+            text.rlike(values.PLAIN_NUMBER).alias("plain"),
+            (~text.rlike(values.NO_NUMBER)).alias("numeric"),
+        ),
+    )
+
+
+def _counts(looks: Column) -> list[Column]:
+    value, shapes = looks["value"], list(dict.fromkeys(fixed.DATE_SHAPES.values()))
+    dates = []
+    for form, pattern in fixed.DATE_SHAPES.items():
+        # the month names of three letters have the shape of the full ones too, which comes later
+        same = [shapes.index(pattern), *([shapes.index(pattern.replace("{3,}", "{3}"))] if "{3,}" in pattern else [])]
+        dates.append(F.count_if(looks["shape"].isin(same) & values.parse_shaped(value, form).isNotNull()))
     return [
-        F.count(value).alias("sampled"),
+        F.count(looks).alias("sampled"),
         F.array(*dates).alias("dates"),
-        F.count_if(values.money(value).isNotNull()).alias("numbers"),
-        F.count_if(values.number(value).isNotNull()).alias("integers"),
+        F.count_if(looks["plain"] | (looks["numeric"] & values.money(value).isNotNull())).alias("numbers"),
+        F.count_if(looks["plain"] | (looks["numeric"] & values.number(value).isNotNull())).alias("integers"),
     ]
 
 

@@ -186,6 +186,7 @@ def wide_upload(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Headers of marketplace reports that the field synonyms speak of.
 WIDE_HEADERS = [
     "Order Id",
     "Shipment Id",

@@ -73,6 +73,13 @@ class Scratch:
     def keep(self) -> None:
         self.kept = True
 
+    def spare(self) -> None:
+        """The folder staged last goes with the scope around this one instead."""
+        outer = self._open.get()[:-1]
+        path = self.paths.pop()
+        if outer:
+            outer[-1].paths.append(path)
+
     def delete(self) -> None:
         while self.paths:
             delete(self.spark, self.paths.pop())
