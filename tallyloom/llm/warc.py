@@ -110,10 +110,11 @@ def _whole(pieces, separator: bytes):
 
 
 def read(spark: SparkSession, path: str, version: str = VERSION, with_block: bool = True) -> DataFrame:
-    """Records of all archives: ``record_id, type, concurrent_to, uri, refers_to_page, digest, content_type,
-    block_digest_ok, payload_bytes, page_id, block``.
+    """Records of all archives: ``record_id, type, concurrent_to, uri, digest, content_type, refers_to_page, page_id,
+    payload_bytes, payload_sha1, block``.
 
-    ``payload_bytes`` counts what follows the HTTP header; ``block`` is null unless asked for.
+    ``payload_bytes`` counts what follows the HTTP header, ``payload_sha1`` is taken from these bytes of a response, while
+    ``digest`` is what its header says; ``block`` is null unless asked for. A record is held whole, whatever its length.
     """
     separator = f"{version}{_END}"
     schema = pa.schema(
@@ -175,12 +176,15 @@ def assemble(records: DataFrame) -> DataFrame:
 def page_table(captures: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` per capture.
 
-    A revisit has no payload in the archive: its length is that of the response it refers to.
+    A revisit has no payload in the archive: its length is that of the response it refers to. A response whose payload
+    is not the one its header has the digest of is an error.
     """
+    digest, own = F.substring_index("response.digest", ":", -1), F.col("response.payload_sha1")
+    broken = F.raise_error(F.concat(F.lit("payload of record "), "response.record_id", F.lit(" does not have its digest")))
     answers = captures.select(
         F.col("metadata.page_id").alias("page_id"),
         F.col("response.payload_bytes").alias("stored_bytes"),
-        F.substring_index("response.digest", ":", -1).alias("payload_digest"),
+        F.when(own.isNull() | (own == digest), digest).otherwise(broken.cast("string")).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
         F.col("response.refers_to_page").alias("refers_to"),
     )

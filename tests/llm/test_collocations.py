@@ -6,8 +6,7 @@ import re
 
 import pytest
 
-from checks.compare import connect, difference
-from tallyloom.llm import collocations, queries
+from tallyloom.llm import collocations
 from tallyloom.llm import words as W
 from tests.llm.test_search import FOLD
 
@@ -73,9 +72,3 @@ def test_compacted_paths(docs):
     assert sorted((r["n"], r["unary"]) for r in nodes.collect()) == [(3, False), (3, False), (4, False), (4, False), (4, True), (4, True), (7, False)]
     ahead = sorted((r["n"], r["ahead"]) for r in collocations.paths(found, nodes).collect())
     assert ahead == [(3, 0), (3, 0), (4, 0), (4, 0), (4, 1), (4, 2)]
-
-
-def test_equals_sql(spark):
-    folder = "/root/testdata/sf0.001"
-    problem, rows = difference(spark, connect(folder), queries.op12_collocations, collocations.SQL, folder)
-    assert problem is None and rows > 100

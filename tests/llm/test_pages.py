@@ -8,6 +8,7 @@ import importlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 import corpus_pipeline
@@ -51,6 +52,14 @@ def test_captures_are_nested(spark, pages):
     assert captures[2]["request"]["uri"] == "http://b X: y" and b"GET http://b X: y" in captures[2]["request"]["block"]
 
 
+def test_payloads_without_their_digest_are_an_error(spark, pages):
+    path = new_path(spark, "warc")
+    warc.write(pages([(1, "http://a", "p")]), path)
+    records = warc.read(spark, path).withColumn("digest", F.when(F.col("type") == "response", F.lit("sha1:AAAA")))
+    with pytest.raises(Exception, match="does not have its digest"):
+        warc.page_table(warc.assemble(records)).collect()
+
+
 def test_block_reader():
     page = '<html><head><title>t</title><style>p{}</style></head><body><nav><a href="x">Menu</a></nav><p>A &amp; b<br>c<p><b>d</b>e <script>var t="</p>";</script>f&nbsp;g</p><!-- <p>no</p> --><ul><li>x<li>y</ul>1 &lt; 2<p title="a>b">q'
     assert [text for _, text, _ in blocks.blocks_of(page)] == ["Menu", "A & b", "c", "de", "f g", "x", "y", "1 < 2", "q"]
@@ -139,7 +148,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     own = {name.split("_")[0] for name in queries.all_queries()}
-    assert own == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert own == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
     assert set(queries.all_queries()) <= set(registered.queries()) and importlib.import_module("corpus_pipeline") is corpus_pipeline
 
 

@@ -7,8 +7,7 @@ import re
 
 import pytest
 
-from checks.compare import connect, difference
-from tallyloom.llm import queries, substrings
+from tallyloom.llm import substrings
 from tallyloom.llm import words as W
 from tests.llm.conftest import prose
 
@@ -80,9 +79,3 @@ def test_one_long_text_and_none(docs):
     rows = [(1, f"{long} middle {long}"), (2, prose(rng, 30))]
     assert found(docs, rows) == brute(rows)
     assert substrings.remove(docs(rows).limit(0), digest=True).collect() == []
-
-
-def test_equals_sql(spark):
-    folder = "/root/testdata/sf0.001"
-    problem, rows = difference(spark, connect(folder), queries.op11_substrings, substrings.SQL, folder)
-    assert problem is None and rows == 200
