@@ -9,8 +9,10 @@ below the threshold, and returns every item at or above it. A found item is veri
 the 5-word shingles of its question, and of its answer if it has one, must be in the passage. The question of an item ends with
 its last question mark; without one, or with nothing after it, all of it is the question.
 
-The index is broadcast in parts of at most ``PART_ITEMS`` items and about ``PART_WORDS`` words, each with its own statistics and
-run over the passages in turn, so a larger benchmark takes more passes, not more memory.
+The number of items, their mean and largest length and the items that hold a term are counted by Spark over the whole
+benchmark. The index is broadcast in parts of at most ``PART_ITEMS`` items and about ``PART_WORDS`` words, in the
+order of the items' ids, and the parts are run over the passages in turn, so a larger benchmark takes more passes,
+not more memory. All parts have the statistics of the whole, so where it is cut changes no score.
 
 Cases: null and empty texts match nothing, nor do items of fewer than two words, which no text can be told
 to have leaked, unless punctuation standing alone makes them two (these items go by words between white space, with
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.llm import words as W
 from tallyloom.llm.common import batches_of, cached
+from tallyloom.sources.workspace import stage
 
 THRESHOLD = 0.5
 OVERLAP = 0.5
@@ -54,24 +58,36 @@ def _terms(words: np.ndarray) -> np.ndarray:
     return W.shingle_hashes(words, 2) if len(words) > 1 else words[:0]
 
 
+class Whole(NamedTuple):
+    """Of the whole benchmark: items with a term, their mean and largest number of terms."""
+
+    items: int
+    mean: float
+    longest: int
+
+
+class Item(NamedTuple):
+    id: int | None
+    text: str
+    frequency: dict[int, int]  # of its terms: the items of the whole benchmark that hold them
+
+
 class Index:
     """Items of one part: postings with block maxima, and the shingles for verification."""
 
-    def __init__(self, items: list[tuple[int | None, str]], clean=W.unmarked):
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[Item], clean, whole: Whole):
+        self.ids = [item.id for item in items]
         self.clean = clean
-        self.checks = [_parts(text, clean) for _, text in items]
-        counted = [np.unique(_terms(_hashes(text, clean)), return_counts=True) for _, text in items]
-        sizes = [int(counts.sum()) for _, counts in counted if len(counts)]
-        self.window = max(PASSAGE, 2 * (max(sizes, default=0) + 1))
-        every, frequency = np.unique(np.concatenate([t for t, _ in counted]), return_counts=True)
+        self.checks = [_parts(item.text, clean) for item in items]
+        self.window = max(PASSAGE, 2 * (whole.longest + 1))
         postings: dict[int, list[tuple[int, float]]] = {}
-        for place, (terms, counts) in enumerate(counted):
+        for place, item in enumerate(items):
+            terms, counts = np.unique(_terms(_hashes(item.text, clean)), return_counts=True)
             if not len(terms):
                 continue
-            seen = frequency[np.searchsorted(every, terms)]
-            idf = np.log(1 + (len(sizes) - seen + 0.5) / (seen + 0.5))
-            weight = idf * counts * (K1 + 1) / (counts + K1 * (1 - B + B * counts.sum() / np.mean(sizes)))
+            seen = np.array([item.frequency[t] for t in terms.view(np.int64).tolist()])
+            idf = np.log(1 + (whole.items - seen + 0.5) / (seen + 0.5))
+            weight = idf * counts * (K1 + 1) / (counts + K1 * (1 - B + B * counts.sum() / whole.mean))
             for term, w in zip(terms, weight / weight.sum()):
                 postings.setdefault(int(term), []).append((place, float(w)))
         self.terms = np.array(sorted(postings), np.uint64)
@@ -129,7 +145,7 @@ class Index:
                 following = min([*ends, *(c[0] - 1 for c in cursors[pivot + 1 : pivot + 2])]) + 1
                 cursors = self._advance(cursors, max(following, item + 1), pivot + 1)
             elif cursors[0][0] == item:
-                score = sum(self.lists[term][position][1] for _, position, term in cursors[: pivot + 1])
+                score = sum(sorted(self.lists[term][position][1] for _, position, term in cursors[: pivot + 1]))  # in any part the same
                 if score >= least:
                     found.append((item, score))
                 cursors = self._advance(cursors, item + 1, pivot + 1)
@@ -179,20 +195,47 @@ def _parts(text: str, clean) -> list[tuple[int, np.ndarray]]:
     return found
 
 
+def _read(batches):
+    """Items with the hashes of their terms, and whether marks count as words."""
+    schema = pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("marks", pa.bool_()), ("terms", pa.list_(pa.int64()))])
+
+    def rows():
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1)):
+                value = text.as_py() or ""
+                clean = _cleaner(value)
+                yield item.as_py(), value, clean is None, _terms(_hashes(value, clean)).view(np.int64)
+
+    yield from batches_of(rows(), schema, lambda row: len(row[1]) + 8 * len(row[3]))
+
+
+def _counted(items: DataFrame) -> tuple[DataFrame, Whole]:
+    """``item_id, text, marks, frequency`` in the order of the parts, and what is known of the whole benchmark."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    read = items.mapInArrow(_read, "item_id long, text string, marks boolean, terms array<long>")
+    read = stage(read.withColumn("no", F.monotonically_increasing_id()), "items")
+    size = F.size("terms")
+    whole = read.where(size > 0).agg(F.count("*").alias("n"), F.avg(size).alias("mean"), F.max(size).alias("longest")).first()
+    held = read.select("no", F.explode(F.array_distinct("terms")).alias("term"))
+    counts = held.groupBy("term").agg(F.count("*").alias("n"))
+    known = held.join(counts, "term").groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("frequency"))
+    rows = read.join(known, "no", "left").select("item_id", "text", "marks", "frequency")
+    return rows.orderBy("marks", "item_id", "text"), Whole(whole["n"], whole["mean"] or 0.0, whole["longest"] or 0)
+
+
 def _pieces(items: DataFrame):
     """Parts of the benchmark with bounded items and words, one at a time on the driver, and how their words are read."""
-    held = {W.unmarked: ([], [0]), None: ([], [0])}
-    for row in items.toLocalIterator():
-        clean = _cleaner(row["text"] or "")
-        part, size = held[clean]
-        part.append((row["item_id"], row["text"] or ""))
-        size[0] += len(part[-1][1]) // 4
-        if len(part) >= PART_ITEMS or size[0] >= PART_WORDS:
-            yield part, clean
-            held[clean] = [], [0]
-    for clean, (part, _) in held.items():
-        if part:
-            yield part, clean
+    rows, whole = _counted(items)
+    part, words, marks = [], 0, None
+    for row in rows.toLocalIterator():
+        if part and (row["marks"] != marks or len(part) >= PART_ITEMS or words >= PART_WORDS):
+            yield part, None if marks else W.unmarked, whole
+            part, words = [], 0
+        marks = row["marks"]
+        part.append(Item(row["item_id"], row["text"], row["frequency"] or {}))
+        words += len(row["text"]) // 4
+    if part:
+        yield part, None if marks else W.unmarked, whole
 
 
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,8 +243,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     schema = "doc_id long, item_id long, score double, overlap double"
     rows = docs.select(F.col(key).cast("long"), F.col(text))
     context = docs.sparkSession.sparkContext
-    parts = _pieces(items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
-    found = [rows.mapInArrow(_searcher(context.broadcast((uuid.uuid4().hex, *part))), schema) for part in parts]
+    found = [rows.mapInArrow(_searcher(context.broadcast((uuid.uuid4().hex, *part))), schema) for part in _pieces(items)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -218,7 +260,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
 
         return run
 
-    for part in _pieces(items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))):
+    for part in _pieces(items):
         docs = docs.mapInArrow(cleaner(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *part))), docs.schema)
     return docs
 

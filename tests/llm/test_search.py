@@ -156,10 +156,10 @@ def test_cleaned_keeps_rows_and_columns(docs):
     assert repeats.cleaned(docs(rows).limit(0)).collect() == []
 
 
-def test_wand_equals_exhaustive_search():
+def test_wand_equals_exhaustive_search(spark):
     rng = random.Random(8)
     items = [(i, prose(rng, rng.randint(2, 40))) for i in range(300)]
-    index = bm25.Index(items)
+    index = bm25.Index(*next(bm25._pieces(spark.createDataFrame(items, "item_id long, text string"))))
     for _ in range(200):
         terms = sorted(rng.sample(range(len(index.terms)), 400))
         threshold = rng.choice([0.02, 0.05, 0.1, 0.3])
