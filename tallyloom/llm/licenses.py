@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -148,11 +149,12 @@ def blocks(text: bytes, size: int = BLOCK):
 def places(words: list[bytes], phrases: list[bytes]) -> list[tuple[int, int]]:
     """(first word, phrase) of every place where a phrase's words stand one after the other."""
     line = b" " + b" ".join(words) + b" "
-    found = []
+    found, before = [], []
     for n, phrase in enumerate(phrases):
         inner, at = b" " + phrase + b" ", -1
         while (at := line.find(inner, at + 1)) >= 0:
-            found.append((line.count(b" ", 0, at), n))
+            before = before or list(accumulate((len(word) + 1 for word in words), initial=0))  # the blank before each word
+            found.append((bisect_left(before, at), n))
     return found
 
 
