@@ -37,13 +37,16 @@ from tallyloom.llm.common import batches_of
 from tallyloom.sources.workspace import stage
 
 BLOCK = 8
-#: Tables up to this many rows are sent to all tasks, larger ones are joined by shuffle.
-SMALL = 4_000_000
+#: Written tables up to these bytes are sent to all tasks, larger ones are joined by shuffle.
+BROADCAST_BYTES = 64_000_000
 LAST = 2**63 - 1
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
+def _small(df: DataFrame, listed: str | None = None) -> DataFrame:
+    """Ask for a broadcast if the written table, of longs and perhaps a list of up to three longs each, is proven small."""
+    entries = F.coalesce(F.sum(F.size(listed)), F.lit(0)) * 48 if listed else F.lit(0)
+    size = df.agg((F.count("*") * (16 + 8 * len(df.columns)) + entries).alias("bytes")).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,7 +176,7 @@ def _split(rows: DataFrame, name: list[str], place: list[str], carried: list[str
 def _with_places(texts: DataFrame, rows: DataFrame, fields: list[str]) -> DataFrame:
     """Texts with the list of their places; one row per text, so the list is no longer than the text."""
     places = stage(rows.groupBy("doc", "dup").agg(F.collect_list(F.struct(*fields)).alias("places")), "places")
-    return texts.join(_small(places), ["doc", "dup"]).select("doc", "dup", "text", "places")
+    return texts.join(_small(places, "places"), ["doc", "dup"]).select("doc", "dup", "text", "places")
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
@@ -243,7 +246,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: boo
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row: the bytes left, or with ``digest`` their ``kept_sha256``."""
     texts = keyed(docs, key, text)
     runs = repeated_runs(texts)
-    joined = texts.join(_small(runs), ["doc", "dup"], "left").select("doc", "dup", "text", "runs")
+    joined = texts.join(_small(runs, "runs"), ["doc", "dup"], "left").select("doc", "dup", "text", "runs")
     last = ("kept_sha256", "string") if digest else ("kept", "binary")
     made = joined.mapInArrow(_digests if digest else _removed, f"doc long, dup long, n_bytes long, n_removed long, n_spans long, {last[0]} {last[1]}")
     return made.select(F.nullif("doc", F.lit(LAST)).alias(key), "n_bytes", "n_removed", "n_spans", last[0])
@@ -266,7 +269,7 @@ def _cut(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
     """All rows and columns, the text without its repeats and ``length`` its code points; null texts stay null."""
     texts = keyed(docs, key, text)
-    joined = texts.join(_small(repeated_runs(texts)), ["doc", "dup"], "left")
+    joined = texts.join(_small(repeated_runs(texts), "runs"), ["doc", "dup"], "left")
     runs = F.coalesce("runs", F.array().cast("array<struct<low: long, high: long>>"))
     left = F.when(F.col(f"row.{text}").isNotNull(), _cut("text", runs["low"], runs["high"]))
     joined = joined.select(left.alias("left"), "row")
