@@ -10,9 +10,12 @@ without the ``needed - 1`` most frequent ones. Tokens of one node only link noth
 Nodes are partitioned into groups by their most frequent probe and their size. The matrix holds the
 token union of every group. A query opens a group if the union may have ``needed`` of its visible tokens, a probe among them;
 in an opened group it is compared with the group's most typical member first. Nodes that are linked by
-then need no further comparison with each other. In the second step, queries are compared with those
-members of opened groups that share a probe and belong to another component so far, unless the parity bits of
-both whole sets differ in more places than linked sets can have different tokens. Sets are compared whole.
+then need no further comparison with each other. Then come rounds: the queries and the members of each opened group
+meet in blocks, where a task compares the parity bits of their whole sets. Linked sets differ in a ninth of both
+sizes at most, and so do their bits. Of the members of each other component that may link by that bound, a
+query names the one with the fewest different bits, 64 times as many in every further round. These sets are compared
+whole; links merge components, and refuted pairs are not named again. The rounds end when nothing is named: then no
+link between two components is left. So a query that belongs to a component costs one row for it, however large it is.
 
 Cases: null or blank text has an empty set, links with nothing and is its own component; repeated rows have
 one set and come back as often as they occur; a null id is carried and is nobody's component id unless
@@ -29,15 +32,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyloom.llm import words as W
 from tallyloom.llm.common import batches_of
 from tallyloom.llm.graph import components
-from tallyloom.sources.workspace import stage
+from tallyloom.sources.workspace import Scratch, stage
 
 #: Share of hashes that are visible for sets up to a size; raised if a set sees too few of its own.
 LEVELS = [(64, 1.0), (256, 0.5), (1024, 0.25), (4096, 0.18), (2**62, 0.15)]
-#: Tables up to this many rows are sent to all tasks, larger ones are joined by shuffle.
-SMALL = 2_000_000
+#: Written tables of fixed-width rows are sent to all tasks up to these bytes; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64_000_000
 #: Members compared with one other set in one task.
 CHUNK = 2_000
 REMEMBERED = 200_000
+#: How many times as many members of a component a query names in every further round.
+MORE = 64
 #: Nodes beyond which a token that is no probe counts as shared without being looked up.
 FREQUENT = 64
 #: Parity bits of a set.
@@ -115,8 +120,8 @@ def _below(tokens: np.ndarray, share: float) -> int:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Ask for a broadcast if the (written) table is proven small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    """Ask for a broadcast if the (written) table, of longs only, is proven small."""
+    return F.broadcast(df) if df.count() * (16 + 8 * len(df.columns)) <= BROADCAST_BYTES else df
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,21 +129,37 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     # a row is found again by its id, or else by its text; rows found along with it do no harm
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     docs = docs.withColumn("at", F.coalesce("doc_id", F.xxhash64("text")))
-    scale = 1
-    while True:
-        measured = stage(measure(docs, scale), "sets")
-        short = F.col("seen") < F.col("n") - F.ceil(8 * F.col("n") / 9) + 1  # a link might not be seen
-        if measured.where((F.col("n") > 0) & short).isEmpty():
-            break
-        scale *= 2
-    nodes = measured.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("seen").alias("seen"), F.first("cut").alias("cut"), F.min("at").alias("at"))
-    nodes = stage(nodes, "nodes")
-    links = _links(docs, measured, nodes)
-    labels = components(links)
-    least = labels.join(nodes, "node").groupBy("label").agg(F.min("first").alias("component_id"))
-    known = stage(nodes.join(labels.join(least, "label"), "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id")), "known")
-    rows = measured.select("doc_id", F.col("n").alias("n_shingles"), "node").join(known, "node", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    spark = docs.sparkSession
+    with Scratch(spark) as passing:
+        index, rows, nodes = _indexed(docs)
+        links = _links(docs, index, nodes)
+        labels = components(links)
+        least = labels.join(nodes, "node").groupBy("label").agg(F.min("first").alias("component_id"))
+        known = nodes.join(labels.join(least, "label"), "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+        rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(known, "node", "left")
+        out = stage(rows.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node"), "components")
+        passing.spare()
+    return out
+
+
+def _indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the index of visible tokens that several nodes have, all rows, all nodes), written; the token lists are deleted."""
+    with Scratch(docs.sparkSession) as passing:
+        scale = 1
+        while True:
+            measured = stage(measure(docs, scale), "sets")
+            short = F.col("seen") < F.col("n") - F.ceil(8 * F.col("n") / 9) + 1  # a link might not be seen
+            if measured.where((F.col("n") > 0) & short).isEmpty():
+                break
+            scale *= 2
+        rows = stage(measured.select("doc_id", "n", "node"), "rows")
+        passing.spare()
+        nodes = measured.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("seen").alias("seen"), F.first("cut").alias("cut"), F.min("at").alias("at"))
+        nodes = stage(nodes, "nodes")
+        passing.spare()
+        index = _index(measured, nodes)
+        passing.spare()
+    return index, rows, nodes
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,12 +178,10 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return rows.join(_small(going), "id", "left_anti").select("row.*")
 
 
-def _links(docs: DataFrame, measured: DataFrame, nodes: DataFrame) -> DataFrame:
+def _index(measured: DataFrame, nodes: DataFrame) -> DataFrame:
     visible = measured.where("tokens IS NOT NULL").select("node", F.explode("tokens").alias("token"))
-    counts = visible.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    counts = stage(counts, "tokens")
-    shared = visible.join(counts, "token").distinct()
-    shared = shared.join(nodes.select("node", "n", "seen", "cut"), "node")
+    counts = stage(visible.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "tokens")
+    shared = visible.join(counts, "token").join(nodes.select("node", "n", "seen", "cut"), "node").dropDuplicates(["node", "token"])
     # probes: the visible tokens by rising frequency without the needed - 1 last; dropped ones (of one node) come first
     shared = shared.withColumn("own", _unsigned("token") <= _unsigned("cut"))
     by_node = Window.partitionBy("node")
@@ -175,8 +194,47 @@ def _links(docs: DataFrame, measured: DataFrame, nodes: DataFrame) -> DataFrame:
     n_own = F.sum(F.col("own").cast("long")).over(by_node)
     typical = F.round(F.sum(F.when(F.col("own"), F.log("df"))).over(by_node) / F.col("seen"), 6)
     taken = F.sum((F.col("own") & ~F.col("probe") & (F.col("df") > FREQUENT)).cast("long")).over(by_node)
-    index = stage(ranked.select("node", "token", "n", "df", "own", "probe", "needed", "band", top["token"].alias("core"), typical.alias("typical"), taken.alias("taken"), n_own.alias("n_own"), (F.col("seen") - n_own).alias("alone")), "index")
+    return stage(ranked.select("node", "token", "n", "df", "own", "probe", "needed", "band", top["token"].alias("core"), typical.alias("typical"), taken.alias("taken"), n_own.alias("n_own"), (F.col("seen") - n_own).alias("alone")), "index")
+
 
+def _links(docs: DataFrame, index: DataFrame, nodes: DataFrame) -> DataFrame:
+    with Scratch(docs.sparkSession) as passing:
+        opened = _opened(index)
+        passing.spare()
+    # the most typical member has the most frequent tokens: of a text and its edited copies, the text
+    group = ["core", "band"]
+    pivots = index.groupBy(*group).agg(F.max(F.struct("typical", "node")).alias("best"))
+    pivots = stage(pivots.select(*group, F.col("best.node").alias("pivot")), "pivots")
+    first = opened.join(pivots, group).where("node <> pivot").select("node", F.col("pivot").alias("other")).distinct()
+    links = _verified(docs, nodes, first)
+    members = stage(index.select("node", "n", "alone", *group).dropDuplicates(["node"]), "members")
+    bits, refuted, most = docs.sparkSession.createDataFrame([], "node long, bits array<long>"), None, 1
+    while True:
+        with Scratch(docs.sparkSession) as passing:
+            contested = _contested(members, opened, components(links))
+            fresh = contested.select("node").distinct().join(bits.select("node"), "node", "left_anti")
+            made = stage(_made(docs, nodes, fresh, _bits, "node long, bits array<long>").dropDuplicates(["node"]), "bits")
+            passing.spare()
+            bits = bits.unionByName(made)
+            named = stage(_named(contested, bits, refuted, most), "named")
+            passing.spare()
+        if named.isEmpty():
+            return links
+        found = _verified(docs, nodes, named)
+        wrong = named.join(found.select(F.col("a").alias("node"), F.col("b").alias("other")), ["node", "other"], "left_anti")
+        refuted = stage(wrong if refuted is None else refuted.unionByName(wrong), "refuted")
+        links, most = links.unionByName(found), most * MORE
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    with Scratch(docs.sparkSession) as passing:
+        links = stage(verify(docs, nodes, pairs), "links")
+        passing.spare()
+    return links
+
+
+def _opened(index: DataFrame) -> DataFrame:
+    """``node, core, band``: the groups that a query opens."""
     group = ["core", "band"]
     matrix = stage(index.groupBy("token", *group).agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
     # a query needs 9 * shared >= 4 * (own size + partner's size); what it shares is at most n - alone
@@ -186,39 +244,104 @@ def _links(docs: DataFrame, measured: DataFrame, nodes: DataFrame) -> DataFrame:
     opened = met.groupBy("node", *group).agg(
         F.count("*").alias("overlap"), F.max("probe").alias("probed"), F.first("needed").alias("needed"), F.first("taken").alias("taken")
     )
-    opened = stage(opened.where("probed AND overlap + taken >= needed").select("node", *group), "opened")
+    return stage(opened.where("probed AND overlap + taken >= needed").select("node", *group), "opened")
 
-    # the most typical member has the most frequent tokens: of a text and its edited copies, the text
-    pivots = index.groupBy(*group).agg(F.max(F.struct("typical", "node")).alias("best"))
-    pivots = stage(pivots.select(*group, F.col("best.node").alias("pivot")), "pivots")
-    first = opened.join(pivots, group).where("node <> pivot").select("node", F.col("pivot").alias("other")).distinct()
-    links = stage(verify(docs, nodes, first), "links")
-
-    labels = components(links)
-    named = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.select("node", "token", "n", "own", "probe", "alone", *group, "label")
-    sharing = ["token", *group]
-    asking = named.where("probe").drop(*group).join(opened, "node")
-    asking, named = stage(asking, "asking"), stage(named, "members")
-    mixed = asking.select(*sharing, "label").unionByName(named.select(*sharing, "label")).groupBy(*sharing, "label").count()
-    main = mixed.groupBy(*sharing).agg(F.max_by("label", "count").alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    main = stage(main, "main")
-    asking, named = (x.join(main, sharing).withColumn("outside", F.col("label") != F.col("main")).drop("main") for x in (asking, named))
-    asking, named = stage(asking, "asking"), stage(named, "members")
-    partner = named.select(*sharing, F.col("node").alias("other"), F.col("n").alias("m"), F.col("alone").alias("apart"), F.col("label").alias("tag"), "outside")
-    able = "8 * n <= 9 * (n - alone)"  # a smaller set's own bound, and a larger one's
-    asking, partner = asking.where(able), partner.where("7.2 * m <= 9 * (m - apart)")
-    contested = asking.select("node").unionByName(partner.select(F.col("other").alias("node")))
-    bits = stage(_made(docs, nodes, contested, _bits, "node long, bits array<long>").dropDuplicates(["node"]), "bits")
-    asking = asking.join(_small(bits), "node")
-    partner = partner.join(_small(bits.select(F.col("node").alias("other"), F.col("bits").alias("marks"))), "other")
-    # sets differ in at least as many tokens as their parity bits do, linked ones in a ninth of both sizes at most
-    differ = " + ".join(f"bit_count(bits[{i}] ^ marks[{i}])" for i in range(BITS // 64))
-    may_link = f"label <> tag AND m >= n AND 4 * (n + m) <= 9 * least(n - alone, m - apart) AND 9 * ({differ}) <= n + m"
-    outside = asking.where("outside").drop("outside").join(partner.drop("outside"), sharing).where(may_link)
-    inside = asking.where("NOT outside").drop("outside").join(partner.where("outside").drop("outside"), sharing).where(may_link)
-    rest = outside.select("node", "other").unionByName(inside.select("node", "other")).distinct()
-    return links.unionByName(verify(docs, nodes, rest))
+
+def _contested(members: DataFrame, opened: DataFrame, labels: DataFrame) -> DataFrame:
+    """Queries and members of the opened groups where components differ, dealt into blocks, written."""
+    group = ["core", "band"]
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    asking = opened.join(named.where("8 * n <= 9 * (n - alone)").drop(*group), "node")
+    columns = ["node", *group, "n", "alone", "label"]
+    both = asking.select(*columns, F.lit(0).alias("role")).unionByName(named.where("7.2 * n <= 9 * (n - alone)").select(*columns, F.lit(1).alias("role")))
+    asks = F.col("role") == 0
+    asker, holder = F.when(asks, F.col("label")), F.when(~asks, F.col("label"))
+    counted = both.groupBy(*group).agg(
+        F.count(asker).alias("asks"), F.count(holder).alias("held"),
+        F.min(asker).alias("asks_low"), F.max(asker).alias("asks_high"), F.min(holder).alias("held_low"), F.max(holder).alias("held_high"),
+    )
+    places = stage(counted.where("asks > 0 AND held > 0 AND least(asks_low, held_low) <> greatest(asks_high, held_high)"), "places")
+    # who has nobody of another component to meet stays away
+    meets = F.when(asks, (F.col("label") != F.col("held_low")) | (F.col("label") != F.col("held_high")))
+    meets = meets.otherwise((F.col("label") != F.col("asks_low")) | (F.col("label") != F.col("asks_high")))
+    # blocks of queries times blocks of members, so that no group is one task's however many share it
+    sized = both.join(places, group).where(meets)
+    rows, across = F.ceil(F.col("asks") / CHUNK), F.ceil(F.col("held") / CHUNK)
+    own = F.pmod(F.xxhash64("node"), F.when(asks, rows).otherwise(across))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.when(asks, across).otherwise(rows) - 1))
+    dealt = sized.select(*columns, "role", own.alias("own"), every.alias("every"))
+    return stage(dealt.select(*columns, "role", F.when(asks, F.col("own")).otherwise(F.col("every")).alias("i"), F.when(asks, F.col("every")).otherwise(F.col("own")).alias("j")), "contested")
+
+
+def _named(contested: DataFrame, bits: DataFrame, refuted: DataFrame | None, most: int) -> DataFrame:
+    """``node, other``: of each other component's members that a query may link to, the ``most`` nearest by parity bits."""
+    block = ["core", "band", "i", "j"]
+    rows = contested.join(bits, "node")
+    none = F.array().cast("array<long>")
+    if refuted is None:
+        rows = rows.withColumn("wrong", none)
+    else:
+        wrong = refuted.groupBy("node").agg(F.collect_list("other").alias("wrong"))
+        rows = rows.join(wrong, "node", "left").withColumn("wrong", F.when(F.col("role") == 0, F.coalesce("wrong", none)).otherwise(none))
+    laid = rows.repartition(*block).sortWithinPartitions(*block)
+    laid = laid.select(F.xxhash64(*block).alias("block"), "role", "node", "n", "alone", "label", "bits", "wrong")
+    return laid.mapInArrow(_nearest(most), "node long, other long").distinct()
+
+
+def _nearest(most: int):
+    schema = pa.schema([("node", pa.int64()), ("other", pa.int64())])
+
+    def found(group):
+        role, node, n, alone, label, marks, wrong = (np.concatenate([g[k] for g in group]) for k in range(7))
+        asks, held = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        for tag in np.unique(label[asks]).tolist() if len(held) else ():
+            others = held[label[held] != tag]
+            if not len(others):
+                continue
+            sizes, left = n[others], n[others] - alone[others]
+            for at in asks[label[asks] == tag]:
+                both = sizes + n[at]
+                fits = np.flatnonzero((sizes >= n[at]) & (4 * both <= 9 * np.minimum(n[at] - alone[at], left)))
+                if not len(fits):
+                    continue
+                near = others[fits]
+                apart = np.bitwise_count(marks[near] ^ marks[at]).sum(axis=1, dtype=np.int64)
+                may = 9 * apart <= both[fits]
+                if len(wrong[at]):
+                    may &= ~np.isin(node[near], wrong[at])
+                near, apart = near[may], apart[may]
+                order = np.lexsort((node[near], apart, label[near]))
+                tags = label[near][order]
+                opens = np.flatnonzero(np.append(True, tags[1:] != tags[:-1])) if len(order) else order
+                place = np.arange(len(order)) - np.repeat(opens, np.diff(np.append(opens, len(order))))
+                for k in order[place < most]:
+                    yield int(node[at]), int(node[near[k]])
+
+    def run(batches):
+        def rows():
+            held, group = None, []
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                block = batch.column(0).to_numpy()
+                plain = [batch.column(k).to_numpy() for k in range(1, 6)]
+                marks = batch.column(6).flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+                wrong = np.empty(batch.num_rows, object)
+                for i, w in enumerate(batch.column(7)):
+                    wrong[i] = w.values.to_numpy()
+                edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+                for low, high in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows]):
+                    if group and block[low] != held:
+                        yield from found(group)
+                        group = []
+                    held = block[low]
+                    group.append((*[c[low:high] for c in plain], marks[low:high], wrong[low:high]))
+            if group:
+                yield from found(group)
+
+        yield from batches_of(rows(), schema)
+
+    return run
 
 
 def _made(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, work, schema: str) -> DataFrame:
