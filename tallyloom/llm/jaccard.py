@@ -14,8 +14,8 @@ then need no further comparison with each other. Then come rounds: the queries a
 meet in blocks, where a task compares the parity bits of their whole sets. Linked sets differ in a ninth of both
 sizes at most, and so do their bits. Of the members of each other component that may link by that bound, a
 query names the one with the fewest different bits, 64 times as many in every further round. These sets are compared
-whole; links merge components, and refuted pairs are not named again. The rounds end when nothing is named: then no
-link between two components is left. So a query that belongs to a component costs one row for it, however large it is.
+whole; links merge components, refuted pairs are not named again, and a query that has named all it could asks no more. The
+rounds end when no query is left: then no link between two components is left. So a query that belongs to a component costs one row for it, however large it is.
 
 Cases: null or blank text has an empty set, links with nothing and is its own component; repeated rows have
 one set and come back as often as they occur; a null id is carried and is nobody's component id unless
@@ -209,9 +209,10 @@ def _links(docs: DataFrame, index: DataFrame, nodes: DataFrame) -> DataFrame:
     links = _verified(docs, nodes, first)
     members = stage(index.select("node", "n", "alone", *group).dropDuplicates(["node"]), "members")
     bits, refuted, most = docs.sparkSession.createDataFrame([], "node long, bits array<long>"), None, 1
+    asked = opened
     while True:
         with Scratch(docs.sparkSession) as passing:
-            contested = _contested(members, opened, components(links))
+            contested = _contested(members, asked, components(links))
             fresh = contested.select("node").distinct().join(bits.select("node"), "node", "left_anti")
             made = stage(_made(docs, nodes, fresh, _bits, "node long, bits array<long>").dropDuplicates(["node"]), "bits")
             passing.spare()
@@ -220,10 +221,15 @@ def _links(docs: DataFrame, index: DataFrame, nodes: DataFrame) -> DataFrame:
             passing.spare()
         if named.isEmpty():
             return links
-        found = _verified(docs, nodes, named)
-        wrong = named.join(found.select(F.col("a").alias("node"), F.col("b").alias("other")), ["node", "other"], "left_anti")
+        found = _verified(docs, nodes, named.select("node", "other").distinct())
+        links = links.unionByName(found)
+        unfinished = named.where("more").select("node").distinct()
+        if unfinished.isEmpty():
+            return links
+        # all others have named every member they may link to
+        asked, most = opened.join(unfinished, "node", "left_semi"), most * MORE
+        wrong = named.select("node", "other").distinct().join(found.select(F.col("a").alias("node"), F.col("b").alias("other")), ["node", "other"], "left_anti")
         refuted = stage(wrong if refuted is None else refuted.unionByName(wrong), "refuted")
-        links, most = links.unionByName(found), most * MORE
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -274,7 +280,10 @@ def _contested(members: DataFrame, opened: DataFrame, labels: DataFrame) -> Data
 
 
 def _named(contested: DataFrame, bits: DataFrame, refuted: DataFrame | None, most: int) -> DataFrame:
-    """``node, other``: of each other component's members that a query may link to, the ``most`` nearest by parity bits."""
+    """``node, other``: of each other component's members that a query may link to, the ``most`` nearest by parity bits.
+
+    ``more`` tells that a block had further ones.
+    """
     block = ["core", "band", "i", "j"]
     rows = contested.join(bits, "node")
     none = F.array().cast("array<long>")
@@ -285,11 +294,11 @@ def _named(contested: DataFrame, bits: DataFrame, refuted: DataFrame | None, mos
         rows = rows.join(wrong, "node", "left").withColumn("wrong", F.when(F.col("role") == 0, F.coalesce("wrong", none)).otherwise(none))
     laid = rows.repartition(*block).sortWithinPartitions(*block)
     laid = laid.select(F.xxhash64(*block).alias("block"), "role", "node", "n", "alone", "label", "bits", "wrong")
-    return laid.mapInArrow(_nearest(most), "node long, other long").distinct()
+    return laid.mapInArrow(_nearest(most), "node long, other long, more boolean").distinct()
 
 
 def _nearest(most: int):
-    schema = pa.schema([("node", pa.int64()), ("other", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("more", pa.bool_())])
 
     def found(group):
         role, node, n, alone, label, marks, wrong = (np.concatenate([g[k] for g in group]) for k in range(7))
@@ -314,8 +323,9 @@ def _nearest(most: int):
                 tags = label[near][order]
                 opens = np.flatnonzero(np.append(True, tags[1:] != tags[:-1])) if len(order) else order
                 place = np.arange(len(order)) - np.repeat(opens, np.diff(np.append(opens, len(order))))
+                more = bool((place >= most).any())
                 for k in order[place < most]:
-                    yield int(node[at]), int(node[near[k]])
+                    yield int(node[at]), int(node[near[k]]), more
 
     def run(batches):
         def rows():
