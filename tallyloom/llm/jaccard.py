@@ -8,14 +8,15 @@ common with it, so ``needed`` of its visible tokens, and so one of its ``probes`
 without the ``needed - 1`` most frequent ones. Tokens of one node only link nothing and are dropped.
 
 Nodes are partitioned into groups by their most frequent probe and their size. The matrix holds the
-token union of every group. A query opens a group if the union may have ``needed`` of its visible tokens, a probe among them;
-in an opened group it is compared with the group's most typical member first. Nodes that are linked by
+token union of every group. A query opens a group if the union may have ``needed`` of its visible tokens, a probe among them.
+Every node is compared with the most typical member of its own group first. Nodes that are linked by
 then need no further comparison with each other. Then come rounds: the queries and the members of each opened group
 meet in blocks, where a task compares the parity bits of their whole sets. Linked sets differ in a ninth of both
-sizes at most, and so do their bits. Of the members of each other component that may link by that bound, a
-query names the one with the fewest different bits, 64 times as many in every further round. These sets are compared
+sizes at most, and so do their bits. Of the pairs of two components that may link by that bound, the first rounds name
+a forest per block, those with the fewest different bits first, so no more pairs than the block has sets. In later rounds a query
+names the nearest member of each other component, 64 times as many in every further round. These sets are compared
 whole; links merge components, refuted pairs are not named again, and a query that has named all it could asks no more. The
-rounds end when no query is left: then no link between two components is left. So a query that belongs to a component costs one row for it, however large it is.
+rounds end when no query is left: then no link between two components is left.
 
 Cases: null or blank text has an empty set, links with nothing and is its own component; repeated rows have
 one set and come back as often as they occur; a null id is carried and is nobody's component id unless
@@ -41,6 +42,10 @@ BROADCAST_BYTES = 64_000_000
 #: Members compared with one other set in one task.
 CHUNK = 2_000
 REMEMBERED = 200_000
+#: Rounds that name a forest of pairs per block; near copies, however many, are one component after them.
+FORESTS = 2
+#: Edges of a forest that are looked at between two searches for those that join nothing any more.
+EDGES = 4_096
 #: How many times as many members of a component a query names in every further round.
 MORE = 64
 #: Nodes beyond which a token that is no probe counts as shared without being looked up.
@@ -205,12 +210,14 @@ def _links(docs: DataFrame, index: DataFrame, nodes: DataFrame) -> DataFrame:
     group = ["core", "band"]
     pivots = index.groupBy(*group).agg(F.max(F.struct("typical", "node")).alias("best"))
     pivots = stage(pivots.select(*group, F.col("best.node").alias("pivot")), "pivots")
-    first = opened.join(pivots, group).where("node <> pivot").select("node", F.col("pivot").alias("other")).distinct()
-    links = _verified(docs, nodes, first)
     members = stage(index.select("node", "n", "alone", *group).dropDuplicates(["node"]), "members")
-    bits, refuted, most = docs.sparkSession.createDataFrame([], "node long, bits array<long>"), None, 1
-    asked = opened
+    # a node meets its own group's pivot only: one pair, however many groups it opens
+    first = members.join(pivots, group).where("node <> pivot").select("node", F.col("pivot").alias("other"))
+    links = _verified(docs, nodes, first)
+    bits, refuted = docs.sparkSession.createDataFrame([], "node long, bits array<long>"), None
+    asked, turn = opened, 0
     while True:
+        most = MORE ** (turn - FORESTS) if turn >= FORESTS else None
         with Scratch(docs.sparkSession) as passing:
             contested = _contested(members, asked, components(links))
             fresh = contested.select("node").distinct().join(bits.select("node"), "node", "left_anti")
@@ -221,14 +228,15 @@ def _links(docs: DataFrame, index: DataFrame, nodes: DataFrame) -> DataFrame:
             passing.spare()
         if named.isEmpty():
             return links
-        found = _verified(docs, nodes, named.select("node", "other").distinct())
+        pairs = named.where("other IS NOT NULL").select("node", "other").distinct()
+        found = _verified(docs, nodes, pairs)
         links = links.unionByName(found)
         unfinished = named.where("more").select("node").distinct()
         if unfinished.isEmpty():
             return links
         # all others have named every member they may link to
-        asked, most = opened.join(unfinished, "node", "left_semi"), most * MORE
-        wrong = named.select("node", "other").distinct().join(found.select(F.col("a").alias("node"), F.col("b").alias("other")), ["node", "other"], "left_anti")
+        asked, turn = opened.join(unfinished, "node", "left_semi"), turn + 1
+        wrong = pairs.join(found.select(F.col("a").alias("node"), F.col("b").alias("other")), ["node", "other"], "left_anti")
         refuted = stage(wrong if refuted is None else refuted.unionByName(wrong), "refuted")
 
 
@@ -279,10 +287,10 @@ def _contested(members: DataFrame, opened: DataFrame, labels: DataFrame) -> Data
     return stage(dealt.select(*columns, "role", F.when(asks, F.col("own")).otherwise(F.col("every")).alias("i"), F.when(asks, F.col("every")).otherwise(F.col("own")).alias("j")), "contested")
 
 
-def _named(contested: DataFrame, bits: DataFrame, refuted: DataFrame | None, most: int) -> DataFrame:
+def _named(contested: DataFrame, bits: DataFrame, refuted: DataFrame | None, most: int | None) -> DataFrame:
     """``node, other``: of each other component's members that a query may link to, the ``most`` nearest by parity bits.
 
-    ``more`` tells that a block had further ones.
+    Without ``most``, a forest of them per block. ``more`` tells that a block had further ones, also in a row without ``other``.
     """
     block = ["core", "band", "i", "j"]
     rows = contested.join(bits, "node")
@@ -297,12 +305,36 @@ def _named(contested: DataFrame, bits: DataFrame, refuted: DataFrame | None, mos
     return laid.mapInArrow(_nearest(most), "node long, other long, more boolean").distinct()
 
 
-def _nearest(most: int):
+def _forest(low: np.ndarray, high: np.ndarray, apart: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the pairs ``low, high``, nearest first, join two trees of the labels' graph."""
+    tree = np.unique(label, return_inverse=True)[1]
+    left, kept = np.argsort(apart, kind="stable"), []
+    while len(left):
+        above = list(range(int(tree.max()) + 1))
+        for k in left[:EDGES].tolist():
+            ends = [int(tree[low[k]]), int(tree[high[k]])]
+            for e in (0, 1):
+                while above[ends[e]] != ends[e]:
+                    above[ends[e]] = above[above[ends[e]]]
+                    ends[e] = above[ends[e]]
+            if ends[0] != ends[1]:
+                above[max(ends)] = min(ends)
+                kept.append(k)
+        roots = np.array(above)
+        while not np.array_equal(roots, roots[roots]):
+            roots = roots[roots]
+        tree, left = roots[tree], left[EDGES:]
+        left = left[tree[low[left]] != tree[high[left]]]
+    return np.array(kept, np.int64)
+
+
+def _nearest(most: int | None):
     schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("more", pa.bool_())])
 
     def found(group):
         role, node, n, alone, label, marks, wrong = (np.concatenate([g[k] for g in group]) for k in range(7))
         asks, held = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        edges, skipped = [], set()
         for tag in np.unique(label[asks]).tolist() if len(held) else ():
             others = held[label[held] != tag]
             if not len(others):
@@ -323,9 +355,23 @@ def _nearest(most: int):
                 tags = label[near][order]
                 opens = np.flatnonzero(np.append(True, tags[1:] != tags[:-1])) if len(order) else order
                 place = np.arange(len(order)) - np.repeat(opens, np.diff(np.append(opens, len(order))))
+                if most is None:
+                    first = order[place < 1]
+                    edges.append((np.full(len(first), at, np.int32), near[first].astype(np.int32), apart[first].astype(np.int32)))
+                    if len(first) < len(order):
+                        skipped.add(int(at))
+                    continue
                 more = bool((place >= most).any())
                 for k in order[place < most]:
                     yield int(node[at]), int(node[near[k]]), more
+        if edges:
+            low, high, apart = (np.concatenate(part) for part in zip(*edges))
+            kept = _forest(low, high, apart, label)
+            for k in kept:
+                yield int(node[low[k]]), int(node[high[k]]), False
+            skipped.update(np.delete(low, kept).tolist())
+            for at in skipped:
+                yield int(node[at]), None, True
 
     def run(batches):
         def rows():
