@@ -1,6 +1,9 @@
 """How often rows are written or shuffled on their way."""
 
+from pyspark.sql import functions as F
+
 from checks import queries
+from tallyloom.operators import dedup, upsert
 
 
 def test_stored_rows_are_shuffled_once_for_the_merge(spark, monkeypatch):
@@ -15,3 +18,20 @@ def test_stored_rows_are_shuffled_once_for_the_merge(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert staged == ["rows", "second"]
     assert plan.count("Exchange hashpartitioning") == 2  # the stored rows by key, and the keys of the batch
+
+
+def test_append_report_reads_its_batch_once(spark, tmp_path):
+    rows = [("1", "a"), ("1", "a"), ("2", "a"), (None, "a"), (None, "a")]
+    spark.createDataFrame(rows, "order_id string, sku string").write.parquet(f"{tmp_path}/batch")
+    stored = spark.createDataFrame([("1", "a"), (None, "a")], "order_id string, sku string")
+    report = upsert.append_report(stored, spark.read.parquet(f"{tmp_path}/batch"), ["order_id", "sku"])
+    assert tuple(report.first()) == (1, 2, 2)
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_keys_are_checked_once_each(spark):
+    rows = spark.createDataFrame([(" a ", None), ("", "b"), ("c", "d")], "k string, l string")
+    checked = rows.select(F.upper("k").alias("k"), "l").where(dedup.valid_keys(["k", "l"]))
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert [row["l"] for row in checked.collect()] == ["d"]
+    assert next(line for line in plan.split("\n") if "Filter" in line).count("upper(") == 1
