@@ -35,3 +35,19 @@ def test_keys_are_checked_once_each(spark):
     plan = checked._jdf.queryExecution().optimizedPlan().toString()
     assert [row["l"] for row in checked.collect()] == ["d"]
     assert next(line for line in plan.split("\n") if "Filter" in line).count("upper(") == 1
+
+
+def test_positions_are_counted_in_words_of_rows(spark):
+    places = [("1", "f", 0, 0), ("1", "f", 0, 0), ("2", "f", 0, 63), ("2", "f", 0, 64), (None, "f", 9, 64), ("3", "g", 0, 2**40)]
+    columns = "`Order Id` string, path string, block long, row long"
+    rows = spark.createDataFrame(places, columns).selectExpr(
+        "`Order Id`", "'1.5' AS `Invoice Amount`", "if(row = 64, 'x', '2024-01-02') AS `Invoice Date`", "struct(path, block, row) AS seq"
+    )
+    found = queries.totals_read_back(rows)
+    counted = found.first()
+    assert (counted.rows, counted.orders, counted.positions, counted.undated, counted.missing_amounts) == (6, 3, 5, 2, 0)
+    assert float(counted.amount) == 9
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "word" in plan.split("Aggregate [")[2].split("]")[0]
+    none = queries.totals_read_back(rows.where("`Order Id` = '4'")).first()
+    assert (none.rows, none.orders, none.amount, none.positions) == (0, 0, None, 0)
