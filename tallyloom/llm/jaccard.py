@@ -46,6 +46,8 @@ REMEMBERED = 200_000
 FORESTS = 2
 #: Edges of a forest that are looked at between two searches for those that join nothing any more.
 EDGES = 4_096
+#: Edges of a block that are kept at once; beyond them those that are no forest's go.
+HELD_EDGES = 200_000
 #: How many times as many members of a component a query names in every further round.
 MORE = 64
 #: Nodes beyond which a token that is no probe counts as shared without being looked up.
@@ -334,7 +336,15 @@ def _nearest(most: int | None):
     def found(group):
         role, node, n, alone, label, marks, wrong = (np.concatenate([g[k] for g in group]) for k in range(7))
         asks, held = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        edges, skipped = [], set()
+        edges, skipped, pending = [], set(), 0
+
+        def forest():
+            """The edges so far, in their order, without those that no forest has: later ones cannot bring these back."""
+            low, high, apart = (np.concatenate(part) for part in zip(*edges))
+            kept = np.sort(_forest(low, high, apart, label))
+            skipped.update(np.delete(low, kept).tolist())
+            return [(low[kept], high[kept], apart[kept])]
+
         for tag in np.unique(label[asks]).tolist() if len(held) else ():
             others = held[label[held] != tag]
             if not len(others):
@@ -360,16 +370,17 @@ def _nearest(most: int | None):
                     edges.append((np.full(len(first), at, np.int32), near[first].astype(np.int32), apart[first].astype(np.int32)))
                     if len(first) < len(order):
                         skipped.add(int(at))
+                    pending += len(first)
+                    if pending >= HELD_EDGES:
+                        edges, pending = forest(), 0
                     continue
                 more = bool((place >= most).any())
                 for k in order[place < most]:
                     yield int(node[at]), int(node[near[k]]), more
         if edges:
-            low, high, apart = (np.concatenate(part) for part in zip(*edges))
-            kept = _forest(low, high, apart, label)
-            for k in kept:
-                yield int(node[low[k]]), int(node[high[k]]), False
-            skipped.update(np.delete(low, kept).tolist())
+            for low, high, _ in forest():
+                for a, b in zip(low, high):
+                    yield int(node[a]), int(node[b]), False
             for at in skipped:
                 yield int(node[at]), None, True
 

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from tallyloom.llm import jaccard
 from tests.llm.conftest import prose
 from tests.llm.test_search import brute_components
@@ -38,3 +41,22 @@ def test_refuted_pairs_lead_to_further_members(docs, monkeypatch):
     rows = list(enumerate(texts))
     found = jaccard.join(docs(rows)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, found), key=str) == brute_components(rows)
+
+
+def test_forests_hold_few_edges_at_once(monkeypatch):
+    n, seeds = 60, np.random.default_rng(7)
+    marks = [np.packbits((seeds.random(jaccard.BITS) < 0.02).astype(np.uint8)).view(np.int64).tolist() for _ in range(n)]
+    role, node = [0] * n + [1] * n, [*range(n)] * 2
+    schema = pa.schema([(c, pa.int64()) for c in ("block", "role", "node", "n", "alone", "label")] + [(c, pa.list_(pa.int64())) for c in ("bits", "wrong")])
+    columns = [[1] * 2 * n, role, node, [1000] * 2 * n, [0] * 2 * n, node, marks * 2, [[]] * 2 * n]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    held, forest = [], jaccard._forest
+    monkeypatch.setattr(jaccard, "_forest", lambda low, *rest: held.append(len(low)) or forest(low, *rest))
+
+    def found():
+        return sorted((tuple(row.values()) for b in jaccard._nearest(None)([batch]) for row in b.to_pylist()), key=str)
+
+    whole = found()
+    assert held == [n * (n - 1)] and len([row for row in whole if row[1] is not None]) == n - 1
+    monkeypatch.setattr(jaccard, "HELD_EDGES", 200)
+    assert found() == whole and max(held[1:]) < 200 + 2 * n
