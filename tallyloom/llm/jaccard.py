@@ -15,7 +15,8 @@ meet in blocks, where a task compares the parity bits of their whole sets. Linke
 sizes at most, and so do their bits. Of the pairs of two components that may link by that bound, the first rounds name
 a forest per block, those with the fewest different bits first, so no more pairs than the block has sets. In later rounds a query
 names the nearest member of each other component, 64 times as many in every further round. These sets are compared
-whole; links merge components, refuted pairs are not named again, and a query that has named all it could asks no more. The
+whole; links merge components, refuted pairs are not named again, and a query that has named all it could in a block asks
+there no more, nor does anyone in a block that is one component by now. The
 rounds end when no query is left: then no link between two components is left.
 
 Cases: null or blank text has an empty set, links with nothing and is its own component; repeated rows have
@@ -217,11 +218,13 @@ def _links(docs: DataFrame, index: DataFrame, nodes: DataFrame) -> DataFrame:
     first = members.join(pivots, group).where("node <> pivot").select("node", F.col("pivot").alias("other"))
     links = _verified(docs, nodes, first)
     bits, refuted = docs.sparkSession.createDataFrame([], "node long, bits array<long>"), None
-    asked, turn = opened, 0
+    asked, turn, labels = opened, 0, components(links)
     while True:
         most = MORE ** (turn - FORESTS) if turn >= FORESTS else None
         with Scratch(docs.sparkSession) as passing:
-            contested = _contested(members, asked, components(links))
+            contested = _contested(members, asked, labels)
+            tags = stage(contested.select("core", "band", _block(), "label").distinct(), "tags")
+            passing.spare()
             fresh = contested.select("node").distinct().join(bits.select("node"), "node", "left_anti")
             made = stage(_made(docs, nodes, fresh, _bits, "node long, bits array<long>").dropDuplicates(["node"]), "bits")
             passing.spare()
@@ -233,15 +236,33 @@ def _links(docs: DataFrame, index: DataFrame, nodes: DataFrame) -> DataFrame:
         pairs = named.where("other IS NOT NULL").select("node", "other").distinct()
         found = _verified(docs, nodes, pairs)
         links = links.unionByName(found)
-        unfinished = named.where("more").select("node").distinct()
-        if unfinished.isEmpty():
+        further = named.where("more").select("node", "block").distinct()
+        if further.isEmpty():
             return links
         # all others have named every member they may link to
-        asked, turn = opened.join(unfinished, "node", "left_semi"), turn + 1
+        labels, turn = components(links), turn + 1
+        asked = stage(_unsettled(further, tags, labels), "asked")
         wrong = pairs.join(found.select(F.col("a").alias("node"), F.col("b").alias("other")), ["node", "other"], "left_anti")
         refuted = stage(wrong if refuted is None else refuted.unionByName(wrong), "refuted")
 
 
+def _block():
+    """The number of a block of queries and members."""
+    return F.xxhash64("core", "band", "i", "j").alias("block")
+
+
+def _unsettled(further: DataFrame, tags: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, core, band``: the groups a query has to ask again, by the blocks ``further`` where it could name more.
+
+    ``tags`` are the components each block held; a block with one component left has nothing to ask. Blocks are told by
+    their few components, so that a large group of near copies, one component by now, is not joined query by query.
+    """
+    now = tags.join(labels.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left")
+    merged = F.coalesce("now", "label")
+    split = now.groupBy("core", "band", "block").agg(F.min(merged).alias("low"), F.max(merged).alias("high")).where("low <> high")
+    return further.join(split.select("core", "band", "block"), "block").select("node", "core", "band").distinct()
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     with Scratch(docs.sparkSession) as passing:
         links = stage(verify(docs, nodes, pairs), "links")
@@ -290,9 +311,9 @@ def _contested(members: DataFrame, opened: DataFrame, labels: DataFrame) -> Data
 
 
 def _named(contested: DataFrame, bits: DataFrame, refuted: DataFrame | None, most: int | None) -> DataFrame:
-    """``node, other``: of each other component's members that a query may link to, the ``most`` nearest by parity bits.
+    """``node, other, more, block``: of each other component's members that a query may link to, the ``most`` nearest by parity bits.
 
-    Without ``most``, a forest of them per block. ``more`` tells that a block had further ones, also in a row without ``other``.
+    Without ``most``, a forest of them per block. ``more`` tells that the block had further ones, also in a row without ``other``.
     """
     block = ["core", "band", "i", "j"]
     rows = contested.join(bits, "node")
@@ -303,8 +324,8 @@ def _named(contested: DataFrame, bits: DataFrame, refuted: DataFrame | None, mos
         wrong = refuted.groupBy("node").agg(F.collect_list("other").alias("wrong"))
         rows = rows.join(wrong, "node", "left").withColumn("wrong", F.when(F.col("role") == 0, F.coalesce("wrong", none)).otherwise(none))
     laid = rows.repartition(*block).sortWithinPartitions(*block)
-    laid = laid.select(F.xxhash64(*block).alias("block"), "role", "node", "n", "alone", "label", "bits", "wrong")
-    return laid.mapInArrow(_nearest(most), "node long, other long, more boolean").distinct()
+    laid = laid.select(_block(), "role", "node", "n", "alone", "label", "bits", "wrong")
+    return laid.mapInArrow(_nearest(most), "node long, other long, more boolean, block long").distinct()
 
 
 def _forest(low: np.ndarray, high: np.ndarray, apart: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -331,9 +352,9 @@ def _forest(low: np.ndarray, high: np.ndarray, apart: np.ndarray, label: np.ndar
 
 
 def _nearest(most: int | None):
-    schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("more", pa.bool_())])
+    schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("more", pa.bool_()), ("block", pa.int64())])
 
-    def found(group):
+    def found(group, block):
         role, node, n, alone, label, marks, wrong = (np.concatenate([g[k] for g in group]) for k in range(7))
         asks, held = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         edges, skipped, pending = [], set(), 0
@@ -376,13 +397,13 @@ def _nearest(most: int | None):
                     continue
                 more = bool((place >= most).any())
                 for k in order[place < most]:
-                    yield int(node[at]), int(node[near[k]]), more
+                    yield int(node[at]), int(node[near[k]]), more, block
         if edges:
             for low, high, _ in forest():
                 for a, b in zip(low, high):
-                    yield int(node[a]), int(node[b]), False
+                    yield int(node[a]), int(node[b]), False, block
             for at in skipped:
-                yield int(node[at]), None, True
+                yield int(node[at]), None, True, block
 
     def run(batches):
         def rows():
@@ -399,12 +420,12 @@ def _nearest(most: int | None):
                 edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
                 for low, high in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows]):
                     if group and block[low] != held:
-                        yield from found(group)
+                        yield from found(group, held)
                         group = []
-                    held = block[low]
+                    held = int(block[low])
                     group.append((*[c[low:high] for c in plain], marks[low:high], wrong[low:high]))
             if group:
-                yield from found(group)
+                yield from found(group, held)
 
         yield from batches_of(rows(), schema)
 

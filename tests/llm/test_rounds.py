@@ -60,3 +60,20 @@ def test_forests_hold_few_edges_at_once(monkeypatch):
     assert held == [n * (n - 1)] and len([row for row in whole if row[1] is not None]) == n - 1
     monkeypatch.setattr(jaccard, "HELD_EDGES", 200)
     assert found() == whole and max(held[1:]) < 200 + 2 * n
+
+
+def test_near_copies_of_one_component_ask_no_more(docs, monkeypatch):
+    rng = random.Random(23)
+    base = prose(rng, 150).split()
+    texts = [" ".join(base)]
+    for k in range(100):  # one word of the base differs in each copy, in some two
+        words = list(base)
+        for _ in range(1 + k % 2):
+            words[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    asked, contested = [], jaccard._contested
+    monkeypatch.setattr(jaccard, "_contested", lambda members, opened, labels: asked.append(opened.count()) or contested(members, opened, labels))
+    found = jaccard.join(docs(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(rows)
+    assert asked[0] > 200 and sum(asked[1:]) < asked[0] / 4, asked
