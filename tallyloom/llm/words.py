@@ -1,7 +1,7 @@
 """Vectorised words and shingles of many texts at a time.
 
 A word is a run of bytes other than blank and \\x09-\\x0D; A-Z count as a-z. Words and shingles
-are known by 64-bit hashes. Work goes in slices of about a megabyte, so memory follows the number of words.
+are known by 64-bit hashes. Work goes in slices of about ``SLICE`` bytes, so a worker needs some 20 MB for its arrays.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32
