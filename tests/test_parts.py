@@ -91,3 +91,27 @@ def test_groups_keep_to_the_bound(monkeypatch):
     monkeypatch.setattr(workspace, "PART_BYTES", 10)
     assert workspace.grouped({"a": 4, "b": 6, "c": 1, "d": 30, "e": 2}) == [["a", "b"], ["c"], ["d"], ["e"]]
     assert workspace.grouped({}) == []
+
+
+def test_staged_cleaning_finds_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(workspace, "PART_BYTES", 1)
+    lines = [(f" o{n % 7} ", f"2024-01-0{n % 3 + 1}" if n % 5 else None, n) for n in range(60)]
+    raw = spark.createDataFrame(lines, f"`Order Id` string, Day string, {SEQ} int")
+    mapping = {"order_id": "Order Id", "order_date": "Day"}
+    with workspace.Scratch(spark):
+        whole, staged = (cleaning.clean_upload(raw, mapping, "yyyy-M-d", staged=s) for s in (False, True))
+        assert staged.schema.fieldNames() == whole.schema.fieldNames() and len(staged.inputFiles()) > 1
+        assert sorted(map(str, staged.collect())) == sorted(map(str, whole.collect())) and whole.count() == 28
+        none = cleaning.clean_upload(raw.where("false"), mapping, "yyyy-M-d", staged=True)
+        assert none.count() == 0 and none.columns == staged.columns
+
+
+def test_snapshots_are_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(uploads, "PACKED_ROWS", 2)
+    rows = [(str(n), 'two\n"lines"' if n == 3 else "é, x") for n in range(5)]
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(1).withColumn(SEQ, F.lit(0))
+    for path in write_snapshots(df, df, str(tmp_path), "up", "1"):
+        files = list(pathlib.Path(path).glob("part-*"))
+        assert len(files) == 3 and all(file.name.endswith(".csv.gz") for file in files)
+        assert [(r.a, r.b) for r in read_upload(spark, path).orderBy(SEQ).collect()] == rows
+    assert not list(pathlib.Path(write_csv(df.drop(SEQ), str(tmp_path / "plain"))).glob("part-*.gz"))
